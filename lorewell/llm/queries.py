@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "simhash", "toxicity")
+MODULES = ("langid", "spans", "simhash", "toxicity", "packing")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
