@@ -1 +1 @@
-""""""
+"""Operators over DataFrames: corpus, index, retrieval, graph, overlay, memory, agents."""

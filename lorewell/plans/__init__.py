@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("corpus", "retrieval")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
