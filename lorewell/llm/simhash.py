@@ -5,14 +5,14 @@ weighing 1 + ln(count). Two documents are near-duplicates if at most ``RADIUS``
 = 17 bits differ; groups are the connected components of that relation, and the
 document with the smallest id of each group stays.
 
-Search is exact. Of two signatures within 17 bits, one of the two 64-bit halves
-differs in at most 8 (pigeonhole). A half is cut into ``blocks`` pieces; halves
-within 8 bits agree on at least ``blocks - 8`` of them, so every choice of that
-many pieces is a shard key and a pair within the radius meets in some shard. The
+Search is by shards. A shard key is ``bits`` of the 128 bits, chosen by a fixed
+permutation for each of ``tables`` keys; signatures with an equal key form a
+shard. ``bits`` follows the count of signatures so that shards stay small, and
+``tables`` follows ``bits`` so that a pair at the radius, the worst case, meets in
+some shard with probability ``RECALL`` = 0.95 (nearer pairs more surely). The
 signatures of a shard form a BK-tree (children keyed by the integer Hamming
 distance to their parent), and each signature of the shard follows only edges
-within the radius of its distance. ``blocks`` is chosen from the count of
-signatures so that shards stay small; any value gives the same result.
+within the radius of its distance.
 
 A tree is never broadcast to the whole cluster: all trees together grow with
 the corpus. Instead a shard's tree and its queries are sent to one task. The
@@ -34,8 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations
-from math import comb
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +46,13 @@ from ._common import checkpointed, pick, table, texts
 from ._components import components
 
 RADIUS = 17
-HALF_RADIUS = RADIUS // 2
-SHARD = 48  # signatures in a shard, on average at most
+BITS = 128
+RECALL = 0.95
+SHARD = 32  # signatures in a shard, on average at most
 WORDS = re.compile(r"[^\W_]+")
 FRONTIER = 1 << 21
 PART_BYTES = 8 << 20
-ENTRY = np.dtype([("key", np.uint32), ("id", np.int64), ("near", np.uint64), ("far", np.uint64)])
+ENTRY = np.dtype([("key", np.uint32), ("id", np.int64), ("hi", np.uint64), ("lo", np.uint64)])
 
 
 class _Planes(dict):
@@ -71,16 +71,16 @@ def signatures(batch: list[str]) -> list[tuple[int, int] | None]:
         count = Counter(WORDS.findall(text.lower()))
         counted.append((np.fromiter((planes[w] for w in count), np.int64, len(count)), np.fromiter(count.values(), np.float32, len(count))))
     digests = b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "replace")) for w in planes)
-    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1)
+    signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).astype(np.float32)
     out: list[tuple[int, int] | None] = []
     for ids, count in counted:
         if not len(ids):
             out.append(None)
             continue
-        weight = np.round(1024 * (1 + np.log(count))).astype(np.float32)
-        lean = np.zeros(128)
-        for at in range(0, len(ids), 4096):  # so that long texts stay small
-            lean += weight[at : at + 4096].astype(np.float64) @ signs[ids[at : at + 4096]]
+        weight = np.round(16 * (1 + np.log(count)))
+        lean = np.zeros(BITS)
+        for at in range(0, len(ids), 4096):  # so that sums are exact and long texts stay small
+            lean += weight[at : at + 4096] @ signs[ids[at : at + 4096]]
         packed = np.packbits(2 * lean > weight.sum(dtype=np.float64)).view(">i8")
         out.append((int(packed[0]), int(packed[1])))
     return out
@@ -101,43 +101,56 @@ def signed(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, hi long, lo long")
 
 
-def blocks_for(n: int, shard: int = SHARD) -> int:
-    """Pieces of a half, so that ``n`` signatures spread over enough shard keys."""
-    blocks = HALF_RADIUS + 1
-    while n / 2 ** (64 * (blocks - HALF_RADIUS) / blocks) > shard and blocks < 2 * HALF_RADIUS:
-        blocks += 1
-    return blocks
+def layout(n: int, shard: int = SHARD, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a key, tables) for ``n`` signatures."""
+    bits = min(31, max(1, ceil(log2(max(n, 2) / shard)))) if n > shard else 0
+    return bits, ceil(log(1 - recall) / log(1 - (1 - RADIUS / BITS) ** bits)) if bits else 1
 
 
-def shard_keys(half: np.ndarray, blocks: int) -> np.ndarray:
-    """(rows, keys) 64-bit keys; halves within the radius share one at the same place."""
-    at = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for chosen in combinations(range(blocks), blocks - HALF_RADIUS):
-        mask = 0
-        for i in chosen:
-            mask |= ((1 << (at[i + 1] - at[i])) - 1) << at[i]
-        keys.append(half & np.uint64(mask))
-    return np.array(keys).T
+def masks(bits: int, tables: int) -> np.ndarray:
+    """(tables, 2) halves of the bits that each key takes; consecutive keys share none as far as possible."""
+    order = np.concatenate([np.random.default_rng(seed).permutation(BITS)[: BITS - BITS % max(bits, 1)] for seed in range(bits * tables // (BITS // 2) + 1)])
+    out = np.zeros((tables, BITS), dtype=np.uint8)
+    for table_, chosen in enumerate(order[: bits * tables].reshape(tables, bits)):
+        out[table_, chosen] = 1
+    return np.packbits(out, axis=1).view(">u8").astype(np.uint64)
 
 
-class Forest:
-    """BK-trees of many shards at once. ``tree`` numbers the shard of each item, in order."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def shard_keys(hi: np.ndarray, lo: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(tables, rows) 32-bit keys. Two shards that get the same key by chance are searched as one."""
+    keys = [mixed(mixed(hi & m[0]) + (lo & m[1]) + np.uint64(t + 1)) >> np.uint64(32) for t, m in enumerate(masks(bits, tables))]
+    return np.array(keys, dtype=np.uint32).reshape(tables, len(hi))
+
+
+def apart(hi: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of items a and b."""
+    return np.bitwise_count(hi[a] ^ hi[b]).astype(np.int16) + np.bitwise_count(lo[a] ^ lo[b])
 
-    def __init__(self, half: np.ndarray, tree: np.ndarray):
-        n = len(half)
-        self.half, self.tree = half, tree
-        first = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
-        self.root = first[np.cumsum(np.concatenate(([True], tree[1:] != tree[:-1]))) - 1]
+
+class Forest:
+    """BK-trees of many shards at once. ``tree`` numbers the shard of each item, in order; items are inserted in order."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, tree: np.ndarray):
+        n = len(hi)
+        self.hi, self.lo = hi, lo
+        start = np.concatenate(([True], tree[1:] != tree[:-1]))
+        first = np.flatnonzero(start)
+        self.root = first[np.cumsum(start) - 1]
         self.parent = np.full(n, -1, dtype=np.int64)
-        self.edge = np.zeros(n, dtype=np.int64)
+        self.edge = np.zeros(n, dtype=np.int16)
         self.levels = [first]
-        left = np.flatnonzero(self.root != np.arange(n))
+        left = np.flatnonzero(~start)
         node = self.root[left]
         while len(left):
-            d = np.bitwise_count(half[left] ^ half[node]).astype(np.int64)
-            slot = node * 65 + d
-            order = np.lexsort((left, slot))
+            d = apart(hi, lo, left, node)
+            slot = node * (BITS + 1) + d
+            order = np.argsort(slot, kind="stable")  # items of a slot stay in order
             left, node, d, slot = left[order], node[order], d[order], slot[order]
             head = np.concatenate(([True], slot[1:] != slot[:-1]))
             child = left[head]
@@ -145,8 +158,10 @@ class Forest:
             self.levels.append(child)
             node = child[np.cumsum(head) - 1][~head]
             left = left[~head]
-        self.order = np.argsort(self.parent * 65 + self.edge, kind="stable")
-        self.slot = (self.parent * 65 + self.edge)[self.order]
+        self.children = np.argsort(self.parent, kind="stable")
+        count = np.bincount(self.parent + 1, minlength=n + 1)
+        self.begin = np.cumsum(count)[:-1]
+        self.count = count[1:]
 
     def uniform(self, label: np.ndarray) -> np.ndarray:
         """The one component that holds the whole subtree of each node, or -1."""
@@ -156,23 +171,32 @@ class Forest:
             np.maximum.at(high, self.parent[level], high[level])
         return np.where(low == high, low, -1)
 
-    def search(self, query: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, found) pairs within ``radius``; those that a label already connects may be left out."""
-        whole = self.uniform(label) if label is not None else None
+    def search(self, query: np.ndarray, radius: int, whole: np.ndarray | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, found) pairs within ``radius``, found being the item inserted earlier.
+
+        With ``whole`` (see ``uniform``) and ``label``, subtrees that lie in the query's own component are left out.
+        """
         node = self.root[query]
         got: list[tuple[np.ndarray, np.ndarray]] = []
+        on = node < query
+        query, node = query[on], node[on]
         while len(query):
             if whole is not None:
                 on = whole[node] != label[query]
                 query, node = query[on], node[on]
-            d = np.bitwise_count(self.half[query] ^ self.half[node]).astype(np.int64)
-            hit = (d <= radius) & (query != node)
+            d = apart(self.hi, self.lo, query, node)
+            hit = d <= radius
             got.append((query[hit], node[hit]))
-            begin = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0), "left")
-            n = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), "right") - begin
-            query = np.repeat(query, n)
-            node = self.order[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(len(query))]
-        return (np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
+            n = self.count[node]
+            on = n > 0
+            query, node, d, n = query[on], node[on], d[on], n[on]
+            total = np.cumsum(n)
+            at = np.repeat(np.arange(len(n)), n)
+            child = self.children[np.arange(len(at)) + (self.begin[node] - total + n)[at]]
+            # What lies below a later item was inserted later still.
+            on = (np.abs(self.edge[child] - d[at]) <= radius) & (child < query[at])
+            query, node = query[at[on]], child[on]
+        return tuple(np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.int64) for i in (0, 1))
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,55 +213,50 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def linked(tree: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """The component label of each item, joining what is within the radius in a shard.
-
-    ``near`` is the half that the shards hold, ``far`` the other one.
-    """
-    forest = Forest(near, tree)
-    label = np.arange(len(near))
+def linked(tree: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The component label of each item, joining what is within the radius in a shard."""
+    label = np.arange(len(hi))
+    if not len(hi):
+        return label
+    forest = Forest(hi, lo, tree)
     start = np.concatenate(([True], tree[1:] != tree[:-1]))
-    rank = np.arange(len(near)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-    size = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1] if len(near) else rank
-    done = 0
-    while done <= (rank.max() if len(rank) else -1):
-        todo = np.flatnonzero((rank >= done) & (rank < 2 * done + 1) & (size > 1))
+    rank = label - forest.root
+    size = np.bincount(np.cumsum(start) - 1)[np.cumsum(start) - 1]
+    below, above = 1, 64
+    while below <= rank.max():
+        todo = np.flatnonzero((rank >= below) & (rank < above))
         todo = todo[np.argsort(-size[todo], kind="stable")]
         at = 0
+        whole = forest.uniform(label) if below > 1 else None
         while at < len(todo):
-            n = max(1, FRONTIER // int(size[todo[at]]))
-            a, b = forest.search(np.sort(todo[at : at + n]), HALF_RADIUS, label)
-            ok = np.bitwise_count(near[a] ^ near[b]) + np.bitwise_count(far[a] ^ far[b]) <= RADIUS
-            label = merged(label, a[ok], b[ok])
+            n = max(1, FRONTIER // int(min(above, size[todo[at]])))
+            a, b = forest.search(todo[at : at + n], RADIUS, whole, label)
+            label = merged(label, a, b)
+            if whole is not None and len(a):
+                whole = forest.uniform(label)
             at += n
-        done = 2 * done + 1
+        below, above = above, 2 * above
     return label
 
 
 def edges(sigs: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
-    """(a, b) edges between ids of distinct signatures; they connect exactly what lies within the radius.
+    """(a, b) edges between ids of distinct signatures; they connect what lies within the radius and meets in a shard.
 
     A signature goes to as many shards as there are keys. Those of a batch that
     go to the same task travel as one packed row, so the exchange moves 28 bytes
     an entry and few rows.
     """
-    blocks = blocks_for(n, shard)
-    keys = 2 * comb(blocks, HALF_RADIUS)
-    parts = max(1, -(-n * keys * ENTRY.itemsize // PART_BYTES))
+    bits, tables = layout(n, shard)
+    parts = max(1, -(-n * tables * ENTRY.itemsize // PART_BYTES))
 
     def spread(batches):
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
                 ids, hi, lo = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                halves = hi.view(np.uint64), lo.view(np.uint64)
-                rows = np.empty((keys, len(ids)), dtype=ENTRY)
-                for which in (0, 1):
-                    own = rows[which * keys // 2 : (which + 1) * keys // 2]
-                    own["id"], own["near"], own["far"] = ids, halves[which], halves[1 - which]
-                    for k, key in enumerate(shard_keys(halves[which], blocks).T):
-                        key = (key + np.uint64(2 * k + which + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                        own[k]["key"] = (key ^ key >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+                rows = np.empty((tables, len(ids)), dtype=ENTRY)
+                rows["id"], rows["hi"], rows["lo"] = ids, hi.view(np.uint64), lo.view(np.uint64)
+                rows["key"] = shard_keys(hi.view(np.uint64), lo.view(np.uint64), bits, tables)
                 rows = rows.ravel()
                 to = rows["key"] % np.uint32(parts)
                 rows = rows[np.argsort(to, kind="stable")]
@@ -261,7 +280,7 @@ def edges(sigs: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
         rows = np.concatenate(held)
         held.clear()
         rows = rows[np.lexsort((rows["id"], rows["key"]))]
-        label = linked(rows["key"], np.ascontiguousarray(rows["near"]), np.ascontiguousarray(rows["far"]))
+        label = linked(rows["key"], np.ascontiguousarray(rows["hi"]), np.ascontiguousarray(rows["lo"]))
         on = np.flatnonzero(label != np.arange(len(label)))
         pairs = np.stack([rows["id"][on], rows["id"][label[on]]], axis=1)
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
