@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -175,8 +176,24 @@ def memory_label(label: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\.+", "."), r"^\.|\.$", "")
 
 
+def plain_label(label: str) -> str:
+    """``memory_label`` of a Python string."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", label) if unicodedata.category(c)[0] != "M").lower().strip()
+    return re.sub(r"\.+", ".", re.sub(r"[^\w-]+", ".", t)).strip(".")
+
+
+def normalized_labels(labels: Column) -> Column:
+    """An array of labels, each normalized; without empty ones, distinct, sorted."""
+
+    @F.pandas_udf("array<string>")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda a: sorted({p for x in (a if a is not None else ()) if x is not None and (p := plain_label(x))}))
+
+    return normal(labels)
+
+
 def memory_labels(labels: Column) -> Column:
-    """Normalized, without empty ones, distinct, sorted."""
+    """Of normalized labels: without empty ones, distinct, sorted."""
     return F.array_sort(F.array_distinct(F.filter(labels, lambda x: x != "")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("corpus", "retrieval")
+MODULES: tuple[str, ...] = ("corpus", "retrieval", "knowledge", "semantic")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

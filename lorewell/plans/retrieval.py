@@ -54,7 +54,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark texts as queries, ten blocks each."""
     rows = scores(spark, sf_dir, benchmark(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    top = rows.withColumn("rank", F.row_number().over(R.PER_QUERY.orderBy(F.desc("score"), "block_id")).cast("long"))
+    top = rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long"))
     return top.where(F.col("rank") <= 10).select("query_id", "rank", "block_id", "score")
 
 
@@ -150,7 +150,7 @@ def lite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = I.build(I.documents(spark, sf_dir), tokenizer=T.lite_tokenize)
     q = R.parsed(batch(spark, BATCH), Options(), T.lite_tokenize)
     rows = R.matches(ix, R.weighted_terms(q)).groupBy("query_id", "block_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    top = rows.withColumn("rank", F.row_number().over(R.PER_QUERY.orderBy(F.desc("score"), "block_id")).cast("long"))
+    top = rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long"))
     return top.where(F.col("rank") <= 5)
 
 
