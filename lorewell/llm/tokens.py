@@ -19,7 +19,7 @@ digest of the tokenizer's version (rank file, pattern) are the key of a cache,
 a Parquet folder in the shared directory. Documents join it on the key; of those
 without a count, one of each distinct content is encoded, the counts are appended
 to the folder, and the documents join it again. Texts move once, to bring equal
-contents together, after each task has dropped its own repeats.
+contents together, compressed and after each task has dropped its own repeats.
 
 Cases (9): null and empty texts count 0 and touch no cache; two writers may both
 append a key, which reading folds into one; a folder written by another version
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,25 +139,31 @@ def count_tokens(docs: DataFrame, cache_dir: str, ranks: str = RANKS) -> DataFra
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(content(F.col("text")), F.lit("")).alias("content"))
     keyed = rows.select("doc_id", "content", F.unhex(F.md5("content")).alias("digest"))
 
-    def own(batches):
-        """Each content of this task once."""
+    def own(batches, packed=False):
+        """Each content of this task once, compressed for the exchange."""
         seen: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             keep = []
             for i, digest in enumerate(b.column(0).to_pylist()):
                 if digest not in seen:
                     seen.add(digest)
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in b.columns], names=["digest", "content"])
+            kept = [c.take(pa.array(keep, pa.int64())) for c in b.columns]
+            if not packed:
+                kept[1] = pa.array([pack(t.encode()) for t in kept[1].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(kept, names=["digest", "content"])
 
     def encoded(batches):
-        for b in own(batches):
-            n = [len(encode(t, ranks)) for t in b.column(1).to_pylist()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in own(batches, packed=True):
+            n = [len(encode(unpack(t).decode(), ranks)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    misses = keyed.where("content <> ''").select("digest", "content").join(cached(spark, folder).select("digest"), "digest", "left_anti")
-    once = misses.mapInArrow(own, "digest binary, content string").repartition("digest").mapInArrow(encoded, "digest binary, n_tokens long")
-    once.write.mode("append").parquet(folder)
+    # The one exchange of texts serves both the join with the cache and the choice of one text per digest.
+    met = keyed.where("content <> ''").select("digest", "content").mapInArrow(own, "digest binary, content binary").repartition("digest")
+    misses = met.join(cached(spark, folder).select("digest").hint("shuffle_hash"), "digest", "left_anti")
+    misses.mapInArrow(encoded, "digest binary, n_tokens long").write.mode("append").parquet(folder)
     known = cached(spark, folder)
     return keyed.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
