@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import ceil, log, log2
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +104,8 @@ def signed(docs: DataFrame) -> DataFrame:
 def layout(n: int, shard: int = SHARD, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a key, tables) for ``n`` signatures."""
     bits = min(31, max(1, ceil(log2(max(n, 2) / shard)))) if n > shard else 0
-    return bits, ceil(log(1 - recall) / log(1 - (1 - RADIUS / BITS) ** bits)) if bits else 1
+    meet = comb(BITS - RADIUS, bits) / comb(BITS, bits)  # that a key takes none of the bits in which a pair at the radius differs
+    return bits, ceil(log(1 - recall) / log(1 - meet)) if bits else 1
 
 
 def masks(bits: int, tables: int) -> np.ndarray:
