@@ -4,7 +4,7 @@ A text is cut after sentence ends, line ends and words of nine letters or more;
 the last keeps long sentences from hiding a passage that starts or ends inside
 them, and all three depend on the text around the cut alone, so a passage is cut
 alike wherever it stands. Every run of ``SPAN`` = 3 consecutive units with at
-least ``MIN_CHARS`` = 40 characters (lower case, white space collapsed) is
+least ``MIN_CHARS`` = 20 characters (lower case, white space collapsed) is
 hashed. Runs meet by hash over the whole corpus; the occurrence with the
 smallest (doc_id, position) stays, and every unit that another occurrence covers
 is removed, overlaps included. What is left keeps its own characters.
@@ -13,8 +13,13 @@ One exchange of (hash, id, position) serves both the aggregation that finds the
 first occurrence and the join that finds the others; texts move once, to meet
 the positions that go.
 
+At the edges of a repeated passage units may remain that only shorter runs cover:
+together fewer than ``MIN_CHARS`` characters at either edge, besides the unit that
+the passage cuts in two. Shorter runs ("Yes. No. Yes.") repeat by chance in texts
+that share nothing.
+
 Cases: null text stays null; empty texts and texts of fewer than ``SPAN`` units
-stay as they are; a document of which all units go stays with an empty text;
+stay as they are; a document that repeats another wholly stays, with an empty text or such a remainder;
 repeats within one document are removed too; rows that repeat a ``doc_id`` are
 one document, at the same positions; rows with a null ``doc_id`` are neither
 compared nor changed; an empty table gives an empty result; extra columns are
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import pick, table
 
 SPAN = 3
-MIN_CHARS = 40
+MIN_CHARS = 20
 END = r"""([.!?…。！？]["')\]]*\s+|\n+|\p{L}{9,}\S*\s+)"""
 MARK = "\u0001"
 
@@ -107,7 +112,7 @@ WITH p AS (
 ), s AS (
   SELECT doc_id, i, u[i + 1] || chr(1) || u[i + 2] || chr(1) || u[i + 3] AS span
   FROM (SELECT doc_id, u, unnest(range(len(u) - 2)) AS i FROM k)
-  WHERE length(u[i + 1]) + length(u[i + 2]) + length(u[i + 3]) >= 40
+  WHERE length(u[i + 1]) + length(u[i + 2]) + length(u[i + 3]) >= 20
 ), later AS (
   SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1
 ), gone AS (
