@@ -7,10 +7,13 @@ each shard as far as it goes, by one search in the prefix sums per shard. Shards
 are cut by that greedy filling with the capacity found, so none is larger and
 none of them could be avoided at that capacity.
 
-Sizes (bytes of UTF-8) are summed per group by Spark and come to the driver in
-order of the key, eight bytes a group: what it holds is a number per group, not
-the text, and a key coarser than the document (``key``) makes it smaller by that
-factor. Only the first keys of the shards go back to the executors.
+Sizes (bytes of UTF-8) are summed per group, ranged by key and stored in blocks
+of ``BLOCK`` groups in the shared folder. The driver holds the blocks' totals, and
+the sizes within those blocks alone in which a cut can fall: the capacity lies
+between an even share and that plus the largest group, so the k-th cut lies
+within a few times k largest groups, however many groups there are. A cut that
+falls elsewhere fetches its block. Only the first keys of the shards go back to
+the executors.
 
 Cases: null and empty texts have size 0 and belong to the shard before them;
 rows that repeat a key are one group; a null key is the first group; a group
@@ -23,37 +26,82 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, table
+from ._common import checkpointed, pick, table
 
 SHARDS = 64
+BLOCK = 1024
 
 SCHEMA = "doc_id long, n_bytes long, shard long"
 
 
-def cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+class Ends:
+    """Prefix sums of all groups, of which only some blocks are at hand.
+
+    ``totals`` are the sums of the blocks; ``fetch`` returns (keys, sizes) of the
+    blocks of the given numbers.
+    """
+
+    def __init__(self, totals: np.ndarray, fetch):
+        self.ends = np.cumsum(totals)
+        self.starts = self.ends - totals
+        self.total = int(self.ends[-1]) if len(totals) else 0
+        self.fetch, self.held = fetch, {}
+
+    def load(self, numbers) -> None:
+        numbers = [int(n) for n in numbers if n not in self.held]
+        if numbers:
+            for n, (keys, sizes) in self.fetch(numbers).items():
+                self.held[n] = keys, self.starts[n] + np.cumsum(sizes)
+
+    def between(self, low: int, high: int) -> range:
+        """Blocks in which a prefix sum from ``low`` to ``high`` may end."""
+        last = max(0, len(self.ends) - 1)
+        return range(min(last, int(np.searchsorted(self.ends, low, "left"))), min(last, int(np.searchsorted(self.ends, high, "right"))) + 1)
+
+    def upto(self, most: int) -> int:
+        """The largest prefix sum of at most ``most``."""
+        block = int(np.searchsorted(self.ends, most, "right"))
+        if block == len(self.ends):
+            return self.total
+        self.load([block])
+        ends = self.held[block][1]
+        at = int(np.searchsorted(ends, most, "right"))
+        return int(ends[at - 1]) if at else int(self.starts[block])
+
+    def key_after(self, cut: int):
+        """The first key whose prefix sum is above ``cut``, which is below the total."""
+        block = int(np.searchsorted(self.ends, cut, "right"))
+        self.load([block])
+        keys, ends = self.held[block]
+        return keys[int(np.searchsorted(ends, cut, "right"))]
+
+
+def cuts(ends: Ends, capacity: int, shards: int) -> list[int] | None:
     """Prefix sums at which greedy filling ends each shard; None if ``shards`` don't do."""
-    found, base, total = [], 0, int(ends[-1]) if len(ends) else 0
-    while base < total:
+    found, base = [], 0
+    while base < ends.total:
         if len(found) == shards:
             return None
-        at = np.searchsorted(ends, base + capacity, "right") - 1
-        if at < 0 or ends[at] <= base:
+        to = ends.upto(base + capacity)
+        if to <= base:
             return None
-        base = int(ends[at])
+        base = to
         found.append(base)
     return found
 
 
-def smallest_capacity(ends: np.ndarray, shards: int) -> int:
-    """From the prefix sums of the group sizes."""
-    if not len(ends) or not ends[-1]:
+def smallest_capacity(ends: Ends, largest: int, shards: int) -> int:
+    """``largest`` is the size of the largest group."""
+    if not ends.total:
         return 0
-    largest = int(np.diff(ends, prepend=0).max())
-    even = -(-int(ends[-1]) // shards)
+    even = -(-ends.total // shards)
     low, high = max(largest, even), even + largest
+    # A greedy shard below the last holds more than capacity - largest, at most capacity.
+    ends.load({n for k in range(1, shards + 1) for n in ends.between(k * (low - largest), min(ends.total, k * high))} if low > 2 * largest else ())
     while low < high:
         middle = (low + high) // 2
         if cuts(ends, middle, shards) is None:
@@ -63,17 +111,51 @@ def smallest_capacity(ends: np.ndarray, shards: int) -> int:
     return low
 
 
+def stored(sizes: DataFrame) -> DataFrame:
+    """(part, seq, total, largest, keys, sizes) blocks of ``sizes(key, n)`` in the order of the key."""
+
+    def block(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table):
+            n = table["n"].to_numpy()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (part, seq, int(n.sum()), int(n.max()))] + [pa.array([table["key"].to_pylist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64()))],
+                names=["part", "seq", "total", "largest", "keys", "sizes"],
+            )
+
+        for b in batches:
+            held.append(pa.RecordBatch.from_arrays(b.columns, names=["key", "n"]))
+            while sum(x.num_rows for x in held) >= BLOCK:
+                table = pa.Table.from_batches(held)
+                yield out(table.slice(0, BLOCK))
+                seq += 1
+                held = table.slice(BLOCK).to_batches()
+        if sum(x.num_rows for x in held):
+            yield out(pa.Table.from_batches(held))
+
+    ranged = sizes.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
+    return checkpointed(ranged.mapInArrow(block, "part long, seq long, total long, largest long, keys array<long>, sizes array<long>"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, key: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: its size and shard. ``key`` is a long of ``doc_id``."""
     key = F.col("doc_id") if key is None else key
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     keyed = rows.select("doc_id", "n_bytes", key.cast("long").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.sum("n_bytes").alias("n")).orderBy(F.col("key").asc_nulls_first()).select("key", "n").toArrow()
-    keys, n = sizes["key"], np.asarray(sizes["n"].to_numpy(), dtype=np.int64)
-    ends = np.cumsum(n)
-    found = cuts(ends, smallest_capacity(ends, shards), shards) or []
-    starts = [keys[int(np.searchsorted(ends, cut, "right"))].as_py() for cut in found[:-1]]
-    bounds = np.array(starts, dtype=np.int64)  # first key of every shard but the first
+    blocks = stored(keyed.groupBy("key").agg(F.sum("n_bytes").alias("n")))
+    index = blocks.select("part", "seq", "total", "largest").orderBy("part", "seq").collect()  # a row per BLOCK groups
+    number = {(r["part"], r["seq"]): i for i, r in enumerate(index)}
+
+    def fetch(numbers: list[int]) -> dict:
+        wanted = docs.sparkSession.createDataFrame([(index[n]["part"], index[n]["seq"]) for n in numbers], "part long, seq long")
+        found = blocks.join(F.broadcast(wanted), ["part", "seq"], "left_semi").select("part", "seq", "keys", "sizes").collect()
+        return {number[r["part"], r["seq"]]: (r["keys"], np.array(r["sizes"], dtype=np.int64)) for r in found}
+
+    ends = Ends(np.array([r["total"] for r in index], dtype=np.int64), fetch)
+    found = cuts(ends, smallest_capacity(ends, max((r["largest"] for r in index), default=0), shards), shards) or []
+    bounds = np.array([ends.key_after(c) for c in found if c < ends.total], dtype=np.int64)  # first key of every shard but the first
 
     def assign(batches):
         for b in batches:

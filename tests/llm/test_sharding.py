@@ -17,15 +17,44 @@ def minimax(sizes, shards):
     return best[n]
 
 
+def blocks(sizes, n, asked):
+    cut = [sizes[i : i + n] for i in range(0, len(sizes), n)]
+
+    def fetch(numbers):
+        asked.update(numbers)
+        return {i: (list(range(i * n, i * n + len(cut[i]))), np.array(cut[i], dtype=np.int64)) for i in numbers}
+
+    return S.Ends(np.array([sum(c) for c in cut], dtype=np.int64), fetch)
+
+
 def test_smallest_capacity():
     rng = random.Random(1)
-    for _ in range(150):
+    for _ in range(200):
         sizes = [rng.choice([0, 1, 2, 5, rng.randint(0, 50)]) for _ in range(rng.randint(1, 25))]
         shards = rng.randint(1, 8)
-        ends = np.cumsum(sizes)
-        capacity = S.smallest_capacity(ends, shards)
+        ends = blocks(sizes, rng.randint(1, 6), set())
+        capacity = S.smallest_capacity(ends, max(sizes), shards)
         assert capacity == minimax(sizes, shards)
-        assert len(S.cuts(ends, capacity, shards) or []) <= shards
+        found = S.cuts(ends, capacity, shards) or []
+        assert len(found) <= shards and (not found or found[-1] == sum(sizes))
+        for c in found[:-1]:
+            key = ends.key_after(c)
+            assert sum(sizes[:key]) <= c < sum(sizes[: key + 1])
+
+
+def test_few_blocks_are_held():
+    """With many groups only blocks around the cuts come to the driver."""
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 9) for _ in range(60_000)]
+    asked = set()
+    ends = blocks(sizes, 50, asked)
+    capacity = S.smallest_capacity(ends, 9, 6)
+    assert len(asked) < 40
+    for c in (capacity, capacity - 1):  # the first does, the next smaller doesn't
+        used, load = 1, 0
+        for x in sizes:
+            used, load = (used, load + x) if load + x <= c else (used + 1, x)
+        assert (used <= 6) is (c == capacity)
 
 
 def check(out, shards, rows):
