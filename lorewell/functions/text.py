@@ -32,6 +32,12 @@ def normalize(text: Column | str) -> Column:
     return F.regexp_replace(plain, r"[^\p{L}\p{N}\s-]", " ")
 
 
+def plain_normalize(text: str) -> str:
+    """``normalize`` of a Python string, white space collapsed."""
+    t = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] != "M").lower()
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in "-" else " " for c in t).split())
+
+
 def words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, r"\s+"), lambda x: x != "")
 

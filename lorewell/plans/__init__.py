@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("corpus", "retrieval", "knowledge", "semantic")
+MODULES: tuple[str, ...] = ("corpus", "retrieval", "knowledge", "semantic", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

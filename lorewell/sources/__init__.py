@@ -1 +1 @@
-""""""
+"""Sources and sinks: binary packs, files, configuration."""
