@@ -51,11 +51,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("block_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "block_id").limit(10)
 
 
+def ranked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, block_id, raw, score): ten blocks for each whole benchmark text."""
+    rows = scores(spark, sf_dir, benchmark(spark, sf_dir)).withColumn("raw", F.col("score")).withColumn("score", F.round("score", 6))
+    top = rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long"))
+    return top.where(F.col("rank") <= 10)
+
+
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark texts as queries, ten blocks each."""
-    rows = scores(spark, sf_dir, benchmark(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    top = rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long"))
-    return top.where(F.col("rank") <= 10).select("query_id", "rank", "block_id", "score")
+    return ranked_batch(spark, sf_dir).select("query_id", "rank", "block_id", "score")
 
 
 def _lexical(options: Options, rows: list[tuple[int, str]]):
@@ -123,7 +128,7 @@ def retrieve_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits with texts, as the patch and the command line show them."""
-    rows = bm25_batch(spark, sf_dir)
+    rows = ranked_batch(spark, sf_dir).withColumn("score", F.col("raw"))
     b = index(spark, sf_dir).blocks.select("block_id", "text", F.col("doc_id").alias("source"))
     return rows.join(b, "block_id")
 
@@ -193,15 +198,15 @@ def _lexical_sql(rows: list[tuple[int, str]], where: str = "true", floor: float
 
 
 _BATCHED = f"""WITH {sql.INDEX}, q AS (SELECT item_id AS query_id, unnest(list_distinct({sql.tokens('text')})) AS term FROM benchmark),
-    s AS (SELECT query_id, block_id, round(sum({sql.part()}), 6) AS score FROM q JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY query_id, block_id),
-    hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS rank, block_id, score FROM s QUALIFY rank <= 10)"""
+    s AS (SELECT query_id, block_id, sum({sql.part()}) AS raw, round(sum({sql.part()}), 6) AS score FROM q JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY query_id, block_id),
+    hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS rank, block_id, score, raw FROM s QUALIFY rank <= 10)"""
 _SIG = "{{'s1': (list_sum({0}) % 257)::DOUBLE, 's2': (list_sum(list_transform({0}, lambda x, i: x * i)) % 263)::DOUBLE, 's3': (list_sum(list_transform({0}, lambda x, i: xor(x * 2, i + 6))) % 269)::DOUBLE}}"
 _CODES = "list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)"
 _CIRC = "least(abs(a.{0} - b.{0}), {1} - abs(a.{0} - b.{0})) / {1}::DOUBLE"
 
 ORACLES = {
     "bm25_topk": f"WITH {sql.INDEX} SELECT block_id, round(sum({sql.part()}), 6) AS score FROM (VALUES ('onen'), ('tion'), ('reing')) q(term) JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY block_id ORDER BY 2 DESC, 1 LIMIT 10",
-    "bm25_batch": f"{_BATCHED} SELECT * FROM hits",
+    "bm25_batch": f"{_BATCHED} SELECT query_id, rank, block_id, score FROM hits",
     "lexical_full": _lexical_sql(BATCH),
     "filter_namespace": _lexical_sql(BATCH, "namespace IN ('fr', 'en')"),
     "filter_source": "",
@@ -221,7 +226,7 @@ ORACLES = {
     "context_patch": rf"""{_BATCHED}, cut AS (SELECT query_id, rank, CASE WHEN length(text) > 240 THEN substr(text, 1, 240) || '…' ELSE text END AS t, block_id::VARCHAR AS source FROM hits JOIN tok USING (block_id) WHERE rank <= 3)
         SELECT query_id, string_agg(CASE WHEN regexp_extract(t, '^(.{{10,200}}?[.!?])\s', 1) <> '' THEN regexp_extract(t, '^(.{{10,200}}?[.!?])\s', 1) ELSE substr(t, 1, 160) END, '|' ORDER BY rank) FILTER (rank <= 2) AS background,
           string_agg(source || ':' || t, '|' ORDER BY rank) AS snippets FROM cut GROUP BY query_id""",
-    "cli_snippets": rf"{_BATCHED} SELECT query_id, rank, block_id::VARCHAR AS source, round(score, 4) AS score, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 200) AS snippet FROM hits JOIN tok USING (block_id)",
+    "cli_snippets": rf"{_BATCHED} SELECT query_id, rank, block_id::VARCHAR AS source, round(raw, 4) AS score, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 200) AS snippet FROM hits JOIN tok USING (block_id)",
     "eval_metrics": f"""{_BATCHED}, rel AS (SELECT item_id AS query_id, doc_id AS block_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
         n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
         top AS (SELECT query_id, rank, block_id IN (SELECT block_id FROM rel WHERE rel.query_id = hits.query_id) AS hit FROM hits WHERE rank <= 5),
