@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,22 +106,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
-def codes(text: Column) -> Column:
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-
-
 def kns_signature(text: Column | str) -> Column:
-    """struct(s1, s2, s3) of three modular sums; every term is positive, so the modulus is taken once."""
-    c = F.when(F.length(_col(text)) == 0, F.array().cast("array<bigint>")).otherwise(codes(_col(text)))
-
-    def total(f) -> Column:
-        return F.aggregate(F.transform(c, f), F.lit(0).cast("long"), lambda s, x: s + x)
-
-    return F.struct(
-        (total(lambda x, i: x) % 257).alias("s1"),
-        (total(lambda x, i: x * (i + 1)) % 263).alias("s2"),
-        (total(lambda x, i: F.shiftleft(x, 1).bitwiseXOR((i + 7).cast("long"))) % 269).alias("s3"),
-    )
+    """struct(s1, s2, s3) of three modular sums over code points, summed by NumPy for whole Arrow batches."""
+
+    @F.pandas_udf("s1 bigint, s2 bigint, s3 bigint")
+    def signed(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in s:
+            c = np.frombuffer((t or "").encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+            i = np.arange(len(c))
+            rows.append((c.sum() % 257, (c * (i + 1)).sum() % 263, (c << 1 ^ (i + 7)).sum() % 269))
+        return pd.DataFrame(rows, columns=["s1", "s2", "s3"], dtype="int64")
+
+    return signed(_col(text))
 
 
 def kns_distance(a: Column, b: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where lambdas inside use it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """0 for vectors of different or no length."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,16 +21,24 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v / |v|; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+
+    def scaled(x: Column) -> Column:
+        return F.transform(x["v"], lambda y: F.when(x["norm"] > 0, y.cast("double") / x["norm"]).otherwise(0.0))
+
+    return let(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("norm")), scaled)
 
 
 def quantize(v: Column) -> Column:
     """struct(q, scale): the unit vector as integers of -127 to 127 and their scale; halves round up."""
-    u = F.transform(unit(v), lambda x: x.cast("float").cast("double"))
-    scale = F.array_max(F.transform(u, lambda x: F.abs(x))) / 127.0
-    q = F.transform(u, lambda x: F.when(scale > 0, F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / scale + 0.5)))).otherwise(0).cast("int"))
-    return F.struct(q.alias("q"), F.coalesce(scale, F.lit(0.0)).alias("scale"))
+
+    def whole(x: Column) -> Column:
+        q = F.transform(x["u"], lambda y: F.when(x["scale"] > 0, F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(y / x["scale"] + 0.5)))).otherwise(0).cast("int"))
+        return F.struct(q.alias("q"), F.coalesce(x["scale"], F.lit(0.0)).alias("scale"))
+
+    def scaled(u: Column) -> Column:
+        return F.struct(u.alias("u"), (F.array_max(F.transform(u, lambda x: F.abs(x))) / 127.0).alias("scale"))
+
+    return let(let(F.transform(unit(v), lambda x: x.cast("float").cast("double")), scaled), whole)
 
 
 def half(x: Column) -> Column:

@@ -1,7 +1,7 @@
 """Corpus and inverted index as DataFrames.
 
 ``blocks``   block_id, text, heading, doc_id, namespace, source, tokens, len
-``postings`` term, block_id, tf, positions
+``postings`` term, block_id, len (of the block, so that scoring needs no join), tf, positions
 ``lexicon``  term, df
 """
 
@@ -21,9 +21,18 @@ class InvalidCorpus(ValueError):
     pass
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the files give fewer splits than that, as a single small file does.
+
+    Tables of many files keep their splits and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as input: block = document, namespace = language, heading absent."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return d.select(F.col("doc_id").alias("block_id"), "text", F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("namespace"), "source")
 
 
@@ -53,9 +62,9 @@ def blocks(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize) -> Dat
 
 def postings(blocks_: DataFrame) -> DataFrame:
     """Positions count from 0. Aggregation combines on the map side: a block's rows never leave their task unmerged."""
-    exploded = blocks_.select("block_id", F.posexplode("tokens").alias("pos", "term"))
-    grouped = exploded.groupBy("term", "block_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "block_id", F.size("positions").cast("long").alias("tf"), "positions")
+    exploded = blocks_.select("block_id", "len", F.posexplode("tokens").alias("pos", "term"))
+    grouped = exploded.groupBy("term", "block_id", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.select("term", "block_id", "len", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def frequencies(blocks_: DataFrame) -> DataFrame:
@@ -100,6 +109,7 @@ class Index:
     lexicon: DataFrame
     n: int
     avg_len: float
+    headed: bool = True  # whether any block can have a heading
 
     @property
     def spark(self) -> SparkSession:
@@ -111,10 +121,12 @@ def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist
     if persist:
         b = b.persist()
     p = postings(b)
+    terms = lexicon(p)
     if persist:
         p = p.persist()
+        terms = lexicon(p).persist()
     row = b.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    return Index(b, p, lexicon(p), row["n"], row["avg"] or 1.0)
+    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns)
 
 
 def save(index: Index, path: str, buckets: int = 64) -> None:
