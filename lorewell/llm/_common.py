@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpointed", "code_points", "pick", "shared_dir", "table", "texts"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (a local session, as in tests) a folder of
-    this machine is made and kept for the rest of the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="lorewell-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(docs: DataFrame, *names: str) -> DataFrame:

@@ -152,5 +152,26 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+#: Piece by piece: the rooms of all bins are a list, which each step of the recursion changes.
+ORACLE = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '\S+')), 0)::BIGINT AS n FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(range(greatest((n + {CAPACITY - 1}) // {CAPACITY}, 1))) AS piece, n FROM words
+), cut AS MATERIALIZED (
+  SELECT doc_id, piece, piece * {CAPACITY} AS start_word, least({CAPACITY}, n - piece * {CAPACITY}) AS n_words FROM pieces
+), ordered AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY n_words DESC, coalesce(doc_id % {RESIDUES}, 0), doc_id NULLS FIRST, piece) AS i FROM cut WHERE n_words > 0
+), packed(i, rooms, bin, room) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT j, CASE WHEN best.r IS NULL THEN list_append(rooms, {CAPACITY} - n_words) ELSE rooms[:best.b - 1] || [best.r - n_words] || rooms[best.b + 1:] END,
+    coalesce(best.b - 1, len(rooms)), coalesce(best.r, {CAPACITY})
+  FROM (SELECT p.rooms, o.i AS j, o.n_words, list_min(list_filter(list_transform(rooms, lambda r, b: {{'r': r, 'b': b}}), lambda x: x.r >= o.n_words)) AS best FROM packed p JOIN ordered o ON o.i = p.i + 1) o
+)
+SELECT doc_id, piece, start_word, n_words, bin AS bin_id, {CAPACITY} - room AS bin_offset FROM ordered JOIN packed USING (i)
+UNION ALL SELECT doc_id, piece, start_word, n_words, NULL, NULL FROM cut WHERE n_words <= 0
+"""
+
 QUERIES = {"op8_best_fit_packing": op8_best_fit_packing}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_best_fit_packing": ORACLE}

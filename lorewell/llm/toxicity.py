@@ -260,5 +260,37 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: Words are found with their offsets by cutting each text into words and single other characters.
+ORACLE = rf"""
+WITH parts AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?s)[\p{{L}}\p{{N}}]+(?:[*@$!][\p{{L}}\p{{N}}]+)*|.') AS p FROM documents WHERE text <> ''
+), words AS (
+  SELECT doc_id, text, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS off
+  FROM (SELECT doc_id, text, unnest(p) AS w, unnest(range(len(p))) AS i FROM parts)
+), lexicon AS (
+  SELECT unnest({_list(LEXICON)}) AS t
+), near AS (
+  SELECT w, min(levenshtein(lower(w), t)) AS d FROM (SELECT DISTINCT w FROM words WHERE length(w) <= 12) JOIN lexicon ON lower(w)[1] = t[1]
+    AND levenshtein(lower(w), t) <= CASE WHEN length(t) <= 4 THEN 0 WHEN length(t) <= 8 THEN 1 ELSE 2 END GROUP BY w
+), hits AS (
+  SELECT doc_id, d, text[greatest(off - {WINDOW - 1}, 1):off] AS b, text[off + length(w) + 1:off + length(w) + {WINDOW}] AS a
+  FROM words JOIN near USING (w) WHERE d = 0 OR lower(w) NOT IN {_list(SAFE).replace('[', '(').replace(']', ')')}
+), seen AS (
+  SELECT doc_id, d, regexp_matches(b, '[{QUOTES}]') AND regexp_matches(a, '[{QUOTES}]') AS quoted,
+    list_has_any(regexp_extract_all(lower(b), '[\p{{L}}\p{{N}}]+'), {_list(REPORTS)}) AS said,
+    list_has_any(regexp_extract_all(lower(b), '[\p{{L}}\p{{N}}]+') || regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}]+'), {_list(ADDRESS)}) AS spoken FROM hits
+), scored AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (d > 0) AS f, count(*) FILTER (quoted) AS q,
+    round(sum(CASE d WHEN 0 THEN 1 WHEN 1 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END * CASE WHEN quoted THEN {QUOTED}::DOUBLE ELSE 1 END
+      * CASE WHEN said THEN {REPORTED}::DOUBLE ELSE 1 END * CASE WHEN spoken THEN {ADDRESSED}::DOUBLE ELSE 1 END), 6) AS s FROM seen GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(f, 0) AS n_fuzzy, coalesce(q, 0) AS n_quoted, coalesce(s, 0)::DOUBLE AS score, coalesce(s, 0) >= {THRESHOLD}::DOUBLE AS toxic
+FROM documents LEFT JOIN scored USING (doc_id)
+"""
+
 QUERIES = {"op7_toxicity": op7_toxicity}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_toxicity": ORACLE}
