@@ -1,0 +1,194 @@
+"""Repeated passages, word by word: every stretch of ``WORDS`` = 25 or more words that stood before goes whole.
+
+Words are runs of letters and digits, lower-cased; Chinese and Japanese characters
+are words of their own, since no white space parts them. Every run of 25 words
+whose equal stands earlier, by (doc_id, position), is covered, and all covered
+words go with the signs that follow them. A repeated stretch thus goes to its last
+word, wherever sentences end, and shorter ones stay, so stock phrases do too.
+
+Not every run is exchanged. Of every 18 consecutive 8-word grams the one with the
+least hash is an anchor, so each run of 25 words holds one, and equal runs hold
+equal ones. Only runs with an anchor that occurs twice are compared; the result is
+that of comparing all.
+
+Cases: null, empty and shorter texts stay; a document that repeats another wholly
+keeps an empty text; repeats within a document go too; rows that repeat a
+``doc_id`` are one document; rows with a null ``doc_id`` are neither compared nor
+changed; an empty table gives an empty result; extra columns are carried.
+``n_chars``, where it exists, is counted anew for changed texts. Scripts without
+spaces other than Chinese and Japanese are cut at spaces and signs alone.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ._common import code_points, pick, table, texts
+from .winnow import _characters
+
+WORDS = 25
+GRAM = 8
+BASE = np.uint64(0x9E3779B97F4A7C15)
+IDEOGRAPHS = ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@lru_cache(maxsize=1)
+def _alone() -> np.ndarray:
+    alone = np.zeros(0x110000, dtype=bool)
+    for first, last in IDEOGRAPHS:
+        alone[first : last + 1] = True
+    return alone
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of a text."""
+    lower, word = _characters()
+    codes = code_points(text)
+    where = np.flatnonzero(word[codes])
+    if not len(where):
+        return where, np.zeros(0, np.uint64)
+    alone = _alone()[codes[where]]
+    head = np.ones(len(where), dtype=bool)
+    head[1:] = (where[1:] != where[:-1] + 1) | alone[1:] | alone[:-1]
+    at = np.flatnonzero(head)
+    place = np.arange(len(where)) - np.repeat(at, np.diff(np.append(at, len(where))))
+    ups = np.full(int(place.max()) + 1, BASE, np.uint64)
+    ups[0] = 1
+    ups = np.multiply.accumulate(ups)
+    return where[at], mixed(np.add.reduceat((lower[codes[where]].astype(np.uint64) + np.uint64(1)) * ups[place], at))
+
+
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive words."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = out * BASE + hashes[k : k + n]
+    return mixed(out).view(np.int64)
+
+
+def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor of every run of ``WORDS``, as a position; hashes of all grams)."""
+    if len(hashes) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = runs(hashes, GRAM)
+    least = np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1).argmin(axis=1)
+    return least + np.arange(len(least)), grams
+
+
+def sampled(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of a text's anchors."""
+    at, grams = anchors(words(text)[1])
+    at = np.unique(at)
+    return at, grams[at]
+
+
+def compared(text: str, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the runs whose anchor is at one of the ``likely`` positions."""
+    h = words(text)[1]
+    near = np.flatnonzero(np.isin(anchors(h)[0], likely))
+    return near, runs(h, WORDS)[near]
+
+
+def without(text: str, starts: np.ndarray) -> str:
+    """``text`` without the words of the runs from ``starts``: positions, times 2**32, and 32 bits of the hashes that the runs must have."""
+    first, word = words(text)
+    have = runs(word, WORDS)
+    low = starts & 0xFFFFFFFF
+    starts = starts >> 32
+    ok = starts < len(have)
+    starts = starts[ok][have[starts[ok]] & 0xFFFFFFFF == low[ok]]
+    if not len(starts):
+        return text
+    delta = np.zeros(len(word) + 1, np.int64)
+    np.add.at(delta, starts, 1)
+    np.add.at(delta, starts + WORDS, -1)
+    gone = np.concatenate(([0], np.cumsum(delta)[:-1] > 0, [0]))
+    edge = np.diff(gone)
+    bounds = np.append(first, len(text))
+    bounds[0] = 0
+    keep, last = [], 0
+    for i, j in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()):
+        keep.append(text[last : bounds[i]])
+        last = bounds[j]
+    return "".join(keep) + text[last:]
+
+
+def repeated(met: DataFrame, later: bool) -> DataFrame:
+    """Of (h, doc_id, pos) the occurrences of every hash at several places; with ``later`` all but the first of these.
+
+    A window, as a join of ``met`` with itself would run its Python stage twice.
+    """
+    place, same = F.struct("doc_id", "pos"), Window.partitionBy("h")
+    end = F.min(place).over(same)
+    other = place if later else F.max(place).over(same)
+    return met.withColumn("__other", end != other).where("__other").drop("__other")
+
+
+def _batch(ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    rows = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+    at, h = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), ids.cast(pa.int64()).take(pa.array(rows, pa.int64())), pa.array(at.astype(np.int32))], names=["h", "doc_id", "pos"])
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, starts) the runs that aren't the first of their kind, as ``without`` takes them."""
+    rows = pick(docs, "doc_id", "text").where("doc_id is not null and text <> ''")
+
+    def sample(batches):
+        for b in batches:
+            for begin in range(0, b.num_rows, 512):
+                part = b.slice(begin, 512)
+                yield _batch(part.column(0), [sampled(t) for t in texts(part.column(1))])
+
+    def compare(batches):
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column("__at")))
+            for begin in range(0, b.num_rows, 256):
+                part = b.slice(begin, 256)
+                found = [compared(t, at.values.to_numpy()) for t, at in zip(texts(part.column("text")), part.column("__at"))]
+                yield _batch(part.column("doc_id"), found)
+
+    schema = "h long, doc_id long, pos int"
+    likely = repeated(rows.mapInArrow(sample, schema), later=False).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("pos").alias("__at"))
+    # A left join of all columns, as in remove_passages, so that both read one exchange of the texts.
+    both = docs.join(likely.hint("shuffle_hash"), F.col("`doc_id`") == F.col("__id"), "left")
+    return repeated(both.mapInArrow(compare, schema), later=True).groupBy("doc_id").agg(F.collect_set(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("starts"))
+
+
+def remove_passages(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without repeated passages, in the columns of ``docs``."""
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or s is None else without(t, np.asarray(s, np.int64)) for t, s in zip(text, starts)], dtype=object)
+
+    found = repeats(docs).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
+    both = docs.join(found.hint("shuffle_hash"), F.col("`doc_id`") == F.col("__id"), "left")
+    hit = F.col("__starts").isNotNull() & F.col("`text`").isNotNull()
+    both = both.withColumn("__rest", rest(F.when(hit, F.col("`text`")), F.col("__starts")))
+    changed = {"text": F.when(hit, F.col("__rest")).otherwise(F.col("`text`"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length("__rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("`n_chars`"))
+    return both.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+
+
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"passage_dedup": passage_dedup}
+ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("langid", "spans", "sharding", "simhash", "winnow", "embeddings", "toxicity", "packing", "tokens")
+MODULES = ("langid", "spans", "passages", "sharding", "simhash", "winnow", "embeddings", "toxicity", "packing", "tokens")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

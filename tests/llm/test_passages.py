@@ -1,0 +1,77 @@
+import random
+import re
+
+from lorewell.llm import passages as P
+
+from . import cases
+
+WORD = re.compile(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿]|(?:(?![぀-ヿㇰ-ㇿ㐀-䶿一-鿿])[^\W_])+")
+
+
+def brute(rows):
+    """{doc_id: text} by comparing the words of all runs."""
+    first, covered, cut = {}, {}, {}
+    for d, t in sorted(rows.items()):
+        cut[d] = [(m.start(), m[0].lower()) for m in WORD.finditer(t)]
+        for i in range(len(cut[d]) - P.WORDS + 1):
+            if first.setdefault(tuple(w for _, w in cut[d][i : i + P.WORDS]), (d, i)) != (d, i):
+                covered.setdefault(d, set()).update(range(i, i + P.WORDS))
+    out = {}
+    for d, t in rows.items():
+        bounds = [0] + [at for at, _ in cut[d][1:]] + [len(t)]
+        out[d] = "".join(t[bounds[i] : bounds[i + 1]] for i in range(len(cut[d])) if i not in covered.get(d, ())) if d in covered else t
+    return out
+
+
+def prose(seed, n, letters="abcdefghijklmnop", longest=4):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(n))
+
+
+def rest(spark, rows):
+    df = cases.docs(spark, [(d, t, "en", "s", len(t)) for d, t in rows.items()])
+    out = P.remove_passages(df).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
+    return {r["doc_id"]: r["text"] for r in out}
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(5)
+    shared = [prose(100 + i, rng.randint(20, 60)) for i in range(8)] + ["一二三四五六七八九十。" * 4]
+    rows = {}
+    for d in range(60):
+        parts = prose(d, 120, longest=11).split(" ")
+        for s in rng.sample(shared, rng.randint(0, 3)):
+            parts.insert(rng.randrange(len(parts)), s)
+        rows[d] = rng.choice([" ", "\n", ", "]).join(parts)
+    assert rest(spark, rows) == brute(rows)
+
+
+def test_short_words_without_stops_and_cjk_go_whole(spark):
+    rng = random.Random(6)
+    kanji = "。".join("".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(12)) for _ in range(6))
+    for passage in (prose(1, 58), kanji, kanji.replace("。", "")):
+        rows = {d: prose(10 + d, 40) + " " + passage + " " + prose(50 + d, 40) for d in range(4)}
+        out = rest(spark, rows)
+        assert out[0] == rows[0]
+        for d in range(1, 4):
+            assert out[d] == prose(10 + d, 40) + " " + prose(50 + d, 40)
+
+
+def test_cases(spark):
+    df = cases.clashing(cases.docs(spark))
+    out = P.remove_passages(df)
+    assert out.columns == df.columns and out.schema == df.schema
+    rows = cases.collected(out)
+    assert len(rows) == len(cases.ROWS)
+    by = {r["doc_id"]: r["text"] for r in rows}
+    for row in cases.ROWS:
+        if row[0] != 7 and row[0] != 5:
+            assert by[row[0]] == row[1]
+    assert P.remove_passages(df.limit(0)).count() == 0
+    text = "“" + prose(3, 80) + "!”"
+    assert rest(spark, {4: text, 2: text, 9: text}) == {2: text, 4: "", 9: ""}
+    # rows of one id with different texts: only the row that holds the repeat loses it
+    other, same = prose(8, 90), prose(3, 80)
+    rows = P.remove_passages(cases.docs(spark, [(1, same, "en", "s", 0), (2, same, "en", "s", 0), (2, other, "en", "s", 0)])).collect()
+    assert sorted(r["text"] for r in rows) == sorted([same, "", other])
