@@ -6,6 +6,7 @@ from lorewell.llm import passages as P
 from . import cases
 
 WORD = re.compile(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿]|(?:(?![぀-ヿㇰ-ㇿ㐀-䶿一-鿿])[^\W_])+")
+STOCK = "on Environmental Protection regulations and Sustainable development"
 
 
 def brute(rows):
@@ -58,6 +59,11 @@ def test_short_words_without_stops_and_cjk_go_whole(spark):
             assert out[d] == prose(10 + d, 40) + " " + prose(50 + d, 40)
 
 
+def test_stock_phrases_stay(spark):
+    rows = {d: f"{prose(10 + d, 40)} {STOCK}. {prose(50 + d, 40)} {STOCK}. {prose(90 + d, 40)}" for d in range(6)}
+    assert rest(spark, rows) == rows
+
+
 def test_cases(spark):
     df = cases.clashing(cases.docs(spark))
     out = P.remove_passages(df)
