@@ -9,6 +9,9 @@ with its position once, however many windows choose it. Two texts that share
 fingerprint at the same place of the shared part. ``pos`` is the offset of the
 k-gram in the original text, in characters.
 
+The SQL of ``op5_winnowing`` fixes these constants. ``winnowing_short`` takes 25 and
+26 instead, and so catches passages from 50 letters or digits on.
+
 Hashes come from wrap-around prefix sums and window minima from doubling steps,
 both over whole arrays; a text is worked through in blocks that overlap by a
 window, so its length is unbounded.
@@ -32,6 +35,7 @@ from ._common import code_points, pick, table, texts
 
 K = 40
 WINDOW = 61
+SHORT_K, SHORT_WINDOW = 25, 26
 BASE = 0x9E3779B97F4A7C15
 BLOCK = 1 << 16
 
@@ -60,12 +64,12 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(ups), np.multiply.accumulate(downs)
 
 
-def gram_hashes(letters: np.ndarray) -> np.ndarray:
+def gram_hashes(letters: np.ndarray, k: int = K) -> np.ndarray:
     """48-bit hash of every k-gram: sum of letter[i+t] * BASE**t modulo 2**64, upper bits."""
     ups, downs = _powers()
-    n = len(letters) - K + 1
+    n = len(letters) - k + 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters.astype(np.uint64) * ups[: len(letters)], dtype=np.uint64)))
-    return (sums[K:] - sums[:n]) * downs[:n] >> np.uint64(16)
+    return (sums[k:] - sums[:n]) * downs[:n] >> np.uint64(16)
 
 
 def chosen(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -84,20 +88,20 @@ def chosen(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, fingerprints) of a text."""
+def fingerprints(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, fingerprints) of a text; ``k`` is at most ``K``."""
     lower, word = _characters()
     codes = code_points(text)
     where = np.flatnonzero(word[codes])
-    if len(where) < K:
+    if len(where) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     letters = lower[codes[where]]
-    at, got, n = [], [], len(letters) - K + 1
-    for begin in range(0, n, BLOCK - WINDOW + 1):
-        if begin and n - begin < WINDOW:
+    at, got, n = [], [], len(letters) - k + 1
+    for begin in range(0, n, BLOCK - window + 1):
+        if begin and n - begin < window:
             break  # the last block's windows were whole
-        h = gram_hashes(letters[begin : begin + BLOCK + K - 1])
-        index = chosen(h)
+        h = gram_hashes(letters[begin : begin + BLOCK + k - 1], k)
+        index = chosen(h, window)
         if at and len(index) and at[-1][-1] == begin + index[0]:
             index = index[1:]
         at.append(begin + index)
@@ -105,14 +109,14 @@ def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray]:
     return where[np.concatenate(at)], np.concatenate(got).astype(np.int64)
 
 
-def winnow(docs: DataFrame) -> DataFrame:
+def winnow(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per fingerprint: document, position, hash."""
 
     def run(batches):
         for b in batches:
             for begin in range(0, b.num_rows, 512):
                 part = b.slice(begin, 512)
-                found = [fingerprints(t) for t in texts(part.column(1))]
+                found = [fingerprints(t, k, window) for t in texts(part.column(1))]
                 rows = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
                 ids = part.column(0).cast(pa.int64()).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64)) for i in (0, 1))], names=["doc_id", "pos", "fingerprint"])
@@ -124,6 +128,11 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(table(spark, sf_dir, "documents"))
 
 
+def winnowing_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints that passages of 50 letters or digits share."""
+    return winnow(table(spark, sf_dir, "documents"), SHORT_K, SHORT_WINDOW)
+
+
 ORACLE = r"""
 WITH RECURSIVE powers(t, p) AS (
   SELECT 0, 1::UHUGEINT UNION ALL SELECT t + 1, p * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT FROM powers WHERE t < 39
@@ -148,5 +157,5 @@ least AS (
 SELECT doc_id, pos, h AS fingerprint FROM picked JOIN hashed USING (doc_id, i)
 """
 
-QUERIES = {"op5_winnowing": op5_winnowing}
+QUERIES = {"op5_winnowing": op5_winnowing, "winnowing_short": winnowing_short}
 ORACLES = {"op5_winnowing": ORACLE}

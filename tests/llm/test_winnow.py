@@ -81,3 +81,23 @@ def test_cases(spark):
     assert ids.count(5) == 2 * ids.count(1) > 0 and None in ids
     assert sorted((r["pos"], r["fingerprint"]) for r in out if r["doc_id"] == 7) == both(cases.LONG)
     assert W.winnow(df.limit(0)).count() == 0
+
+
+def test_short_passages_share_a_fingerprint(spark, data):
+    """Every benchmark text that a document holds, and any 50 letters, leave a common fingerprint."""
+    short = lambda t: set(W.fingerprints(t, W.SHORT_K, W.SHORT_WINDOW)[1].tolist())
+    letters = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r["text"]]
+    rng = random.Random(5)
+    for size in (50, 55, 66, 99):
+        for _ in range(40):
+            items.append("".join(rng.choice("abcdefghij") for _ in range(size)))
+            docs.append("".join(rng.choice("klmnop") for _ in range(80)) + " " + items[-1] + " " + "".join(rng.choice("klmnop") for _ in range(80)))
+    plain, prints = [letters(d) for d in docs], [short(d) for d in docs]
+    held = [(i, d) for i in items for d in range(len(docs)) if letters(i) in plain[d]]
+    assert len(held) >= 160 and min(len(letters(i)) for i, _ in held) == 50
+    assert all(short(i) & prints[d] for i, d in held)
+    df = cases.docs(spark)
+    rows = sorted((r["pos"], r["fingerprint"]) for r in W.winnow(df, W.SHORT_K, W.SHORT_WINDOW).collect() if r["doc_id"] == 7)
+    assert rows == list(zip(*(x.tolist() for x in W.fingerprints(cases.LONG, W.SHORT_K, W.SHORT_WINDOW))))
