@@ -8,8 +8,10 @@ from collections.abc import Iterator
 from typing import Protocol
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -55,6 +57,44 @@ def sidecar_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("block_id", V.unit(F.col("embedding")).alias("vector"))
 
 
+def nearest(vectors: DataFrame, k: int, digits: int | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, block_id, score, rank): the ``k`` greatest dot products of every vector of ``vectors(block_id, v)``, itself included.
+
+    Blocks of queries meet blocks of vectors as matrix products, each a task's work of
+    which ``k`` rows a query remain. Scores count to ``digits``, ties by ``block_id``.
+    Only vectors of one width meet; null and empty ones and those with nulls or NaN
+    are left out.
+    """
+    rows = vectors.select("block_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    rows = rows.where("block_id is not null and size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).withColumn("width", F.size("v"))
+    parts = max(1, -(-rows.count() // block))
+    part = lambda seed: F.pmod(F.xxhash64("block_id", F.lit(seed)), F.lit(parts)).cast("int")
+    all_ = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asked = rows.select("width", part(0).alias("a"), all_.alias("b"), F.lit(True).alias("asks"), "block_id", "v")
+    found = rows.select("width", all_.alias("a"), part(1).alias("b"), F.lit(False).alias("asks"), "block_id", "v")
+
+    def best(key, data):
+        asks, ids = data["asks"].to_numpy(), data["block_id"].to_numpy()
+        x = data["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        q, d = np.flatnonzero(asks), np.flatnonzero(~asks)
+        d = d[np.argsort(ids[d], kind="stable")]
+        out: list[tuple] = []
+        for at in range(0, len(q) if len(d) else 0, 512):
+            scores = x[q[at : at + 512]] @ x[d].T
+            scores = scores if digits is None else np.round(scores, digits)
+            least = np.partition(scores, -min(k, len(d)), axis=1)[:, -min(k, len(d))]
+            for row, limit, query in zip(scores, least, ids[q[at : at + 512]]):
+                hit = np.flatnonzero(row >= limit)
+                hit = hit[np.argsort(-row[hit], kind="stable")][:k]
+                out.append((np.full(len(hit), query), ids[d[hit]], row[hit]))
+        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.table(dict(zip(("query_id", "block_id", "score"), columns)))
+
+    tops = asked.unionByName(found).groupBy("width", "a", "b").applyInArrow(best, "query_id long, block_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "block_id")).cast("long")
+    return tops.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def fingerprint(blocks: DataFrame) -> DataFrame:
     """One row: a digest of ids and texts that doesn't depend on partitioning.
 

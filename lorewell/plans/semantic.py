@@ -24,6 +24,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(vectors(spark, sf_dir).withColumnRenamed("block_id", "query_id"), "query_id")
 
 
+def asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark texts, each with the vector of the block of its number; one without keeps its lexical order."""
+    v = vectors(spark, sf_dir).withColumnRenamed("block_id", "query_id")
+    return retrieval.benchmark(spark, sf_dir).join(v, "query_id", "left")
+
+
 def int8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = S.quantized(vectors(spark, sf_dir))
     return q.select("block_id", F.array_join(F.col("q").cast("array<string>"), ",").alias("q"), F.round("scale", 9).alias("scale"))
@@ -37,24 +43,37 @@ def cosine_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("cosine"), "block_id")).cast("long")).where("rank <= 5")
 
 
+def cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest blocks of every vector; ``cosine_top``, whose SQL asks five, does so for those alone."""
+    v = vectors(spark, sf_dir).select("block_id", V.unit(F.col("embedding")).alias("v"))
+    return S.nearest(v, 5, digits=6).withColumnRenamed("score", "cosine")
+
+
 def int8_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.quantized(vectors(spark, sf_dir))
-    q = s.where("block_id = 1").select(F.col("q").alias("qq"))
-    return s.crossJoin(F.broadcast(q)).select("block_id", V.int_dot(F.col("q"), F.col("qq")).alias("dot"))
+    """Five greatest integer dot products of every quantized vector."""
+    v = S.quantized(vectors(spark, sf_dir)).select("block_id", F.col("q").alias("v"))
+    return S.nearest(v, 5).select("query_id", "block_id", F.col("score").cast("long").alias("dot"), "rank")
 
 
-def cosine_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sidecar vectors: normalized lexical and semantic scores, blended, over the head of fifty."""
-    ix = retrieval.index(spark, sf_dir)
-    q = asked(spark, sf_dir)
-    hits = R.lexical(ix, q, OPTIONS).drop("span", "expansion_only")
+def reranked(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
+    hits = R.lexical(retrieval.index(spark, sf_dir), q, OPTIONS).drop("span", "expansion_only")
     out = R.rerank(hits, q, S.sidecar_rows(vectors(spark, sf_dir)), OPTIONS, exact=True)
     return out.select("query_id", "block_id", F.round("semantic_score", 6).alias("semantic_score"), F.round("blended_score", 6).alias("blended_score"))
 
 
+def cosine_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecar vectors: normalized lexical and semantic scores, blended, over the head of fifty."""
+    return reranked(spark, sf_dir, asked(spark, sf_dir))
+
+
+def cosine_rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every benchmark text."""
+    return reranked(spark, sf_dir, asked_all(spark, sf_dir))
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline with quantized vectors."""
-    hits = R.retrieve(retrieval.index(spark, sf_dir), asked(spark, sf_dir), OPTIONS, S.quantized(vectors(spark, sf_dir)))
+    """The whole pipeline with quantized vectors, for every benchmark text."""
+    hits = R.retrieve(retrieval.index(spark, sf_dir), asked_all(spark, sf_dir), OPTIONS, S.quantized(vectors(spark, sf_dir)))
     return hits.select("query_id", "rank", "block_id", F.round("score", 6).alias("score"))
 
 
@@ -62,7 +81,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fingerprint(retrieval.index(spark, sf_dir).blocks)
 
 
-QUERIES = {f.__name__: f for f in (int8_quantize, cosine_top, int8_dot, cosine_rerank, hybrid_topk, fingerprint)}
+QUERIES = {f.__name__: f for f in (int8_quantize, cosine_top, cosine_all, int8_dot, cosine_rerank, cosine_rerank_all, hybrid_topk, fingerprint)}
 
 _RAW = "list_cosine_similarity(list_transform({0}, lambda x: x::DOUBLE), list_transform({1}, lambda x: x::DOUBLE))"
 _NORM = "CASE WHEN max({0}) OVER w <= min({0}) OVER w THEN 1 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
