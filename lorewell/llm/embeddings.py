@@ -18,8 +18,10 @@ In 64 dimensions the radius is about twice the spread of distances of unrelated
 vectors, so on such data most vectors are near most borders and the work
 approaches all pairs, at matrix-product speed.
 
-Cases: vectors that are null, empty, zero, of another length than most pivots'
-or that hold nulls or NaN have no direction and no partners; equal vectors pair
+The join runs once for each width found.
+
+Cases: vectors that are null, empty, zero or that hold nulls or NaN have no
+direction and no partners, and vectors of different widths don't pair; equal vectors pair
 with cosine 1; of rows that repeat a ``vec_id`` the smallest vector counts; rows
 with a null id are left out; an empty table gives an empty result; extra columns
 are ignored.
@@ -27,6 +29,7 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -63,11 +66,16 @@ def near_pairs(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, blo
     """(vec_a, vec_b, cosine) of every pair, vec_a < vec_b, once."""
     spark = vectors.sparkSession
     rows = checkpointed(valid(vectors))
-    widths = rows.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
+    widths = rows.groupBy("width").count().where("count > 1").orderBy("width").collect()
     if not widths:
         return spark.createDataFrame([], SCHEMA)
-    width, n = widths[0]["width"], widths[0]["count"]
-    rows = rows.where(F.col("width") == width).select("vec_id", "embedding")
+    found = [_of_width(rows.where(F.col("width") == w["width"]).select("vec_id", "embedding"), w["width"], w["count"], cosine, cell, block) for w in widths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, block: int) -> DataFrame:
+    """The pairs of ``n`` valid vectors of one width."""
+    spark = rows.sparkSession
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(PIVOTS, n // cell))).toArrow()
     pivots = unit(chosen["embedding"].combine_chunks(), width)
     radius = sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6  # for rounding; pairs are checked exactly

@@ -37,3 +37,10 @@ def test_cases(spark):
     got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in E.near_pairs(df, block=2, cell=2).collect()}
     assert got == {(1, 2): 1.0, (1, 9): 1.0, (2, 9): 1.0}
     assert E.near_pairs(df.limit(0)).count() == 0
+
+
+def test_every_width_is_joined(spark):
+    wide, narrow = made(120), [(i + 1000, v) for i, v in made(60, 8, seed=2)]
+    out = E.near_pairs(spark.createDataFrame(wide + narrow + [(5000, [1.0])], "vec_id long, embedding array<float>"), cell=25, block=30).collect()
+    got = [(r["vec_a"], r["vec_b"]) for r in out]
+    assert len(got) == len(set(got)) and set(got) == brute(wide, 0.95) | brute(narrow, 0.95) and brute(narrow, 0.95)
