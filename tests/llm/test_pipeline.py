@@ -19,7 +19,7 @@ def test_run_against_plain_versions(spark, data):
     """Each stage's plain version in turn gives the rows of ``run``."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    scorer = toxicity.Scorer()
+    scorer = toxicity.corpus_scorer(spark, data)
     rows = {d: t for d, t in rows.items() if scorer(t)[3] < toxicity.THRESHOLD}
     model = langid.train(docs.where(docs.doc_id.isin(list(rows))))
     rows = {d: t for d, t in rows.items() if not model.predict(t)[5]}
