@@ -9,7 +9,7 @@ from lorewell.llm._common import shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_clean(docs)
+    return toxicity.keep_clean(docs, toxicity.corpus_scorer(spark, sf_dir))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
