@@ -132,10 +132,24 @@ def kns_distance(a: Column, b: Column) -> Column:
 
 
 def fnv32(text: Column) -> Column:
-    """FNV-1a over code units, eight hexadecimal digits."""
-    start = F.lit(2166136261).cast("long")
-    hashed = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, lambda h, c: h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619 % 4294967296)
-    return F.lower(F.lpad(F.hex(hashed), 8, "0"))
+    """FNV-1a over UTF-16 code units, eight hexadecimal digits. A character beyond the BMP counts as its two surrogates."""
+
+    def step(h: Column, unit: Column) -> Column:
+        return h.bitwiseXOR(unit) * 16777619 % 4294967296
+
+    def char(h: Column, c: Column) -> Column:
+        high, low = F.lit(0xD800) + F.floor((c - 0x10000) / 0x400), F.lit(0xDC00) + (c - 0x10000) % 0x400
+        return F.when(c > 0xFFFF, step(step(h, high), low)).otherwise(step(h, c))
+
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(2166136261).cast("long"), char)), 8, "0"))
+
+
+def plain_fnv32(units: str, h: int = 2166136261) -> int:
+    """FNV-1a over UTF-16 code units of a Python string, going on from ``h``."""
+    for unit in np.frombuffer(units.encode("utf-16-le", "surrogatepass"), dtype=np.uint16).tolist():
+        h = (h ^ unit) * 16777619 & 0xFFFFFFFF
+    return h
 
 
 def fnv64(text: str) -> str:

@@ -72,6 +72,24 @@ def build(docs: DataFrame, max_edges: int = 500) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def index(graph: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(label, id) with the greatest id of a label, and the adjacency by source and by target."""
+    nodes, edges = graph
+    return (nodes.groupBy("label").agg(F.max("id").alias("id")), *adjacency(edges))
+
+
+def problems(graph: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(kind, id) of what is wrong with a graph: repeated ids, nodes or edges without a name, ends that are no nodes, evidence that isn't sorted and distinct."""
+    nodes, edges = graph
+    repeated = lambda df, kind: df.groupBy("id").count().where("count > 1").select(F.lit(kind).alias("kind"), "id")
+    blank = nodes.where("id is null or id = '' or label is null or label = ''").select(F.lit("unnamed node").alias("kind"), "id")
+    nameless = edges.where("id is null or id = '' or p is null or p = '' or src is null or dst is null").select(F.lit("unnamed edge").alias("kind"), "id")
+    ends = edges.select("id", F.explode(F.array("src", "dst")).alias("end"))
+    loose = ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti").select(F.lit("loose end").alias("kind"), "id").distinct()
+    untidy = edges.where(canonical(F.col("evidence")) != F.coalesce("evidence", F.array().cast("array<bigint>"))).select(F.lit("evidence").alias("kind"), "id")
+    return repeated(nodes, "repeated node").unionByName(repeated(edges, "repeated edge")).unionByName(blank).unionByName(nameless).unionByName(loose).unionByName(untidy)
+
+
 def adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sorted edge ids by source and by target."""
     side = lambda c: edges.groupBy(F.col(c).alias("id")).agg(F.array_sort(F.collect_list("id")).alias("edges"))
@@ -126,10 +144,11 @@ def expansion(graph: tuple[DataFrame, DataFrame], queries: DataFrame, options: G
     tokens = queries.select("query_id", F.array_distinct(T.tokenize("q")).alias("own"))
     each = tokens.select("query_id", F.explode("own").alias("token"))
     labels = nodes.groupBy("label").agg(F.max("id").alias("id"))
-    # Whole labels first, then labels by token and label; the first character makes the prefix join an equi-join.
+    # Whole labels first, then labels by token and label. Labels are cut to the lengths that tokens have, which makes the prefix join an equi-join.
     exact = each.join(labels, F.col("token") == F.col("label")).select("query_id", F.lit(0).alias("k"), F.lit("").alias("token"), "label", "id")
-    first = lambda c: F.substring(c, 1, 1)
-    near = each.join(labels, (first("token") == first("label")) & F.col("label").startswith(F.col("token"))).select("query_id", F.lit(1).alias("k"), "token", "label", "id")
+    sizes = [r["n"] for r in each.select(F.length("token").alias("n")).where("n <= 200").distinct().collect()]  # a label has at most 200 characters
+    cut = F.filter(F.array(*(F.when(F.length("label") >= n, F.substring("label", 1, n)) for n in sorted(sizes)), F.lit(None).cast("string")), lambda x: x.isNotNull())
+    near = each.join(labels.select("label", "id", F.explode(cut).alias("token")), "token").select("query_id", F.lit(1).alias("k"), "token", "label", "id")
     seen = exact.unionByName(near).groupBy("query_id", "id").agg(F.min(F.struct("k", "token", "label")).alias("at"))
     # Whole labels always count; prefixes fill up to the cap.
     seen = seen.withColumn("n", F.row_number().over(per.orderBy("at"))).where((F.col("at.k") == 0) | (F.col("n") <= options.max_extra_terms * 4))

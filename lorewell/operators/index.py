@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import numbered
 
 OPTIONAL = ("heading", "doc_id", "namespace", "source")
 
@@ -36,10 +37,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("block_id"), "text", F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("namespace"), "source")
 
 
-def validated(docs: DataFrame) -> DataFrame:
-    """Fails on a row whose text is missing or blank, as the job reaches it."""
+def checked_columns(docs: DataFrame) -> DataFrame:
+    """Fails at once where a column is absent or of another type than documents have."""
     if "text" not in docs.columns or "block_id" not in docs.columns:
         raise InvalidCorpus("documents need block_id and text")
+    for c in ("text", "heading", "doc_id", "namespace"):
+        if c in docs.columns and docs.schema[c].dataType.typeName() not in ("string", "varchar", "char", "void"):
+            raise InvalidCorpus(f"documents: {c} must be a string")
+    return docs
+
+
+def validated(docs: DataFrame) -> DataFrame:
+    """Fails on a row whose text is missing or blank, as the job reaches it."""
+    checked_columns(docs)
     blank = F.coalesce(F.regexp_replace("text", r"\s+", ""), F.lit("")) == ""
     message = F.concat(F.lit("document without text: block "), F.coalesce(F.col("block_id").cast("string"), F.lit("?")))
     return docs.withColumn("text", F.when(blank, F.raise_error(message).cast("string")).otherwise(F.col("text")))
@@ -78,19 +88,9 @@ def lexicon(postings_: DataFrame) -> DataFrame:
 
 
 def term_ids(blocks_: DataFrame) -> DataFrame:
-    """(term, term_id) from 1, in the order of first occurrence.
-
-    Numbers a sorted range of the distinct terms: partition offsets come from one count a partition.
-    """
+    """(term, term_id) from 1, in the order of first occurrence."""
     seen = blocks_.select("block_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term").agg(F.min(F.struct("block_id", "pos")).alias("first"))
-    ranged = seen.repartitionByRange("first").sortWithinPartitions("first").select("term", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
-    starts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("base")).orderBy("part").collect()
-    total, offsets = 0, []
-    for r in starts:
-        offsets.append((r["part"], r["base"], total))
-        total += r["n"]
-    where = blocks_.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "part int, base long, offset long")
-    return ranged.join(F.broadcast(where), "part").select("term", (F.col("row") - F.col("base") + F.col("offset") + 1).alias("term_id"))
+    return numbered(seen, [F.col("first").asc()], "term_id", 1).select("term", "term_id")
 
 
 def stats(blocks_: DataFrame, postings_: DataFrame) -> DataFrame:
@@ -116,8 +116,9 @@ class Index:
         return self.blocks.sparkSession
 
 
-def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist: bool = False) -> Index:
-    b = blocks(docs, markdown, tokenizer)
+def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist: bool = False, strict: bool = False) -> Index:
+    """Index of ``docs``, whose columns are checked; with ``strict`` a blank text fails the job, else it is an empty block."""
+    b = blocks(validated(docs) if strict else checked_columns(docs), markdown, tokenizer)
     if persist:
         b = b.persist()
     p = postings(b)

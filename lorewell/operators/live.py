@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import numbered
 from . import index as I
 
 FIELDS = ("text", "heading", "namespace")
@@ -51,18 +52,12 @@ def merged(base: DataFrame, ops: DataFrame) -> DataFrame:
     return named.unionByName(rows.where("doc_id is null"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``block_id`` by id order: hashes aren't needed, a range partition numbers the rows."""
-    ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("base")).orderBy("part").collect()
-    total, offsets = 0, []
-    for r in counts:
-        offsets.append((r["part"], r["base"], total))
-        total += r["n"]
-    where = docs.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "part int, base long, offset long")
-    return ranged.join(F.broadcast(where), "part").withColumn("block_id", F.col("row") - F.col("base") + F.col("offset")).drop("part", "row", "base", "offset")
+def placed(docs: DataFrame) -> DataFrame:
+    """``block_id`` by id, documents without one after all others, by text, heading and namespace."""
+    order = [F.col("doc_id").asc_nulls_last(), *(F.col(c).asc_nulls_last() for c in FIELDS)]
+    return numbered(docs, order, "block_id")
 
 
 def live_index(base: DataFrame, ops: DataFrame) -> I.Index:
     """One index, and so one set of document frequencies, over the merged corpus."""
-    return I.build(numbered(merged(base, ops)))
+    return I.build(placed(merged(base, ops)))

@@ -54,8 +54,8 @@ def replay(ops: DataFrame) -> DataFrame:
     counts = (F.col("at") > F.col("last")) | ((F.col("first") == F.col("last")) & (F.col("at") < F.col("first")))
     extra = rows.where("op = 'label'").join(bounds, "id").where(counts).groupBy("id").agg(F.flatten(F.collect_list("labels")).alias("more"))
     links = rows.where("op = 'link'").join(bounds, "id").where(counts)
-    links = links.groupBy("id", "relation", "to").agg(F.max_by(F.struct("ts", "actor", "confidence"), "at").alias("l"))
-    links = links.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("relation", "to", F.col("l.ts").alias("ts"), F.col("l.actor").alias("actor")))).alias("links"))
+    links = links.select("id", "ts", "actor", "relation", "to", "confidence").distinct()  # what the id of a link is made of
+    links = links.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "actor", "relation", "to", "confidence"))).alias("links"))
     out = said.join(extra, "id", "left").join(links, "id", "left")
     none = F.array().cast("array<string>")
     all_labels = T.memory_labels(F.concat(F.coalesce("m.labels", none), F.coalesce("more", none)))
@@ -115,14 +115,14 @@ def recall(memories: DataFrame, query: str, top_k: int = 10, **filters) -> DataF
 
 
 def consolidate(memories: DataFrame, now: int, prefix: str = "memory", min_age=None, max_age=None, **filters) -> DataFrame:
-    """Memories as documents for a corpus: (ts, doc_id, heading, namespace, text)."""
+    """Memories as documents for a corpus, by time and id: (ts, doc_id, heading, namespace, text)."""
     rows = passing(memories, **filters)
     age = F.lit(now) - F.col("ts")
     if min_age is not None:
         rows = rows.where(age >= min_age)
     if max_age is not None:
         rows = rows.where(age <= max_age)
-    return rows.select("ts", F.col("id").alias("doc_id"), F.concat(F.col("kind"), F.lit(": "), F.array_join("labels", "/")).alias("heading"), F.concat(F.lit(prefix + "."), F.col("kind")).alias("namespace"), "text")
+    return rows.select("ts", F.col("id").alias("doc_id"), F.concat(F.col("kind"), F.lit(": "), F.array_join("labels", "/")).alias("heading"), F.concat(F.lit((T.plain_label(prefix) or "memory") + "."), F.col("kind")).alias("namespace"), "text").orderBy("ts", "doc_id")
 
 
 def claim_ops(memories: DataFrame) -> DataFrame:

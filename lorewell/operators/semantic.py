@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
 
 
@@ -107,6 +108,18 @@ def fingerprint(blocks: DataFrame) -> DataFrame:
     return total.select("blocks", F.concat_ws("-", F.col("blocks").cast("string"), F.hex("a"), F.hex("b")).alias("fingerprint"))
 
 
+def pack_fingerprint(version: int, rows: list[tuple[str | None, str]]) -> str:
+    """The fingerprint that sidecars of packs carry: FNV-1a over the version, all ids, then all texts, in block order.
+
+    It runs from the first character to the last, so it is for packs, which are
+    held whole by one machine; corpora of any size have ``fingerprint``.
+    """
+    h = T.plain_fnv32(str(version))
+    for part in (*(d or "" for d, _ in rows), *(t for _, t in rows)):
+        h = T.plain_fnv32(part, h)
+    return f"fnv1a-{h:08x}"
+
+
 def sidecar_json(fingerprint_: str, model_id: str, dimension: int, rows: list[tuple[int, list[float]]], created_at: str) -> str:
     return json.dumps({"version": 1, "packFingerprint": fingerprint_, "modelId": model_id, "dimension": dimension, "metric": "cosine", "createdAt": created_at, "blocks": [{"blockId": b, "vector": v} for b, v in rows]}, indent=2) + "\n"
 

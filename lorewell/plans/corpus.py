@@ -59,13 +59,15 @@ def kns_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fnv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return d.select("item_id", F.concat(F.lit("n_"), T.fnv32(T.claim_label("text"))).alias("node_id"))
+    """Node ids of the labels that documents make, with characters beyond the BMP in some."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\U00010400\U0002070e "), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", F.concat(F.lit("n_"), T.fnv32(T.claim_label(text))).alias("node_id"))
 
 
 def fnv64_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return d.select("item_id", T.fnv64_column(F.col("text")).alias("hash"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", T.fnv64_column(F.col("text")).alias("hash"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +100,9 @@ ORACLES = {
     "kns_signature": """WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c FROM documents)
         SELECT doc_id, (list_sum(c) % 257)::BIGINT AS s1, (list_sum(list_transform(c, lambda x, i: x * i)) % 263)::BIGINT AS s2,
           (list_sum(list_transform(c, lambda x, i: xor(x * 2, i + 6))) % 269)::BIGINT AS s3 FROM c""",
-    "fnv_ids": rf"""SELECT item_id, 'n_' || lpad(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(substr(trim(regexp_replace({sql.normal('text')}, '\s+', ' ', 'g')), 1, 200), ''), lambda x: unicode(x)::BIGINT)),
-        lambda h, c: xor(h, c) * 16777619 % 4294967296)).lower(), 8, '0') AS node_id FROM benchmark""",
-    "fnv64_ids": """SELECT item_id, lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(text, ''), lambda x: unicode(x)::UHUGEINT)),
-        lambda h, c: xor(h, c) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)).lower(), 16, '0') AS hash FROM benchmark""",
+    "fnv_ids": f"SELECT doc_id, 'n_' || {sql.fnv('t')} AS node_id FROM (SELECT doc_id, {sql.label("CASE WHEN doc_id % 3 = 0 THEN chr(66560) || chr(132878) || ' ' || text ELSE text END")} AS t FROM documents)",
+    "fnv64_ids": """SELECT doc_id, lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(text, ''), lambda x: unicode(x)::UHUGEINT)),
+        lambda h, c: xor(h, c) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)).lower(), 16, '0') AS hash FROM documents""",
     "sentences": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
         SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""",
     "jaccard_pairs": f"""WITH t AS (SELECT item_id, {sql.normal('text')} AS t FROM benchmark), g AS (SELECT item_id, CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM t),

@@ -177,7 +177,7 @@ QUERIES = {
 
 
 def _fnv(x: str) -> str:
-    return f"lpad(to_hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)).lower(), 8, '0')"
+    return sql.fnv(x)
 
 
 def _label(x: str) -> str:

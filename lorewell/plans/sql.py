@@ -22,3 +22,14 @@ def part(tf: str = "tf") -> str:
 
 def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::BIGINT" if isinstance(v, int) else str(v) for v in r) + ")" for r in rows)
+
+
+def fnv(x: str) -> str:
+    """FNV-1a of 32 bits over UTF-16 code units."""
+    units = f"flatten(list_transform(string_split({x}, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN [55296 + (unicode(x)::BIGINT - 65536) // 1024, 56320 + (unicode(x)::BIGINT - 65536) % 1024] ELSE [unicode(x)::BIGINT] END))"
+    return f"lpad(to_hex(list_reduce(list_prepend(2166136261::BIGINT, {units}), lambda h, c: xor(h, c) * 16777619 % 4294967296)).lower(), 8, '0')"
+
+
+def label(x: str) -> str:
+    """A claim label."""
+    return rf"substr(trim(regexp_replace({normal(x)}, '\s+', ' ', 'g')), 1, 200)"

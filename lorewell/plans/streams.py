@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..streaming import ingest, replay
 from . import knowledge, sql
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the place that the cluster shares, or of this machine where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorewell-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder in the place that the cluster shares."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_memory_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
