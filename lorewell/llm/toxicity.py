@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import characters, code_points, pick, table, texts
+from ._common import characters, checkpointed, code_points, pick, table, texts
 
 PLAIN = (
     "stupid", "idiot", "scum", "worthless", "trash", "disgusting", "loser", "moron", "clown", "pathetic",
@@ -318,9 +318,9 @@ def counts(sample: DataFrame) -> DataFrame:
     """(word, language, t, c, lang_t, lang_c, word_t, word_c, all_t, all_c): contexts in toxic and clean rows, of each word and in all."""
     w = sample.select("language", "toxic", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("w")).where(F.size("w") > 0)
     places = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))
-    seen = w.select("language", "toxic", F.explode(F.array_distinct(places)).alias("x")).select("language", "toxic", "x.*").distinct()
+    seen = w.select("language", "toxic", F.explode(places).alias("x")).select("language", "toxic", "x.*").distinct()
     kinds = (F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") == 0, 1)))
-    words_ = seen.groupBy("word", "language").agg(kinds[0].alias("t"), kinds[1].alias("c"))
+    words_ = checkpointed(seen.groupBy("word", "language").agg(kinds[0].alias("t"), kinds[1].alias("c")))  # read for the sums as well
     sums = [F.sum(x).over(Window.partitionBy("word")).alias(f"word_{x}") for x in "tc"]
     languages = words_.groupBy("language").agg(F.sum("t").alias("lang_t"), F.sum("c").alias("lang_c"))
     every = languages.agg(F.sum("lang_t").alias("all_t"), F.sum("lang_c").alias("all_c"))
@@ -329,7 +329,7 @@ def counts(sample: DataFrame) -> DataFrame:
 
 def learned(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Scorer:
     """The scorer for a corpus: ``LEXICON``, the terms that the labels show, and the misspellings that clean rows hold."""
-    found = counts(sampled(docs, labels, per_class)).persist()
+    found = counts(sampled(docs, labels, per_class))
     over_all = share(F.col("word_t"), F.col("word_c"), F.col("all_t"), F.col("all_c"))
     here = [F.col(x) for x in ("t", "c", "lang_t", "lang_c")]
     strong = found.where("lang_t > 0 and lang_c > 0 and t > 0").where((evidence(*here) >= EVIDENCE) & (share(*here) >= SHARE) & (over_all >= SHARE))
@@ -346,7 +346,6 @@ def learned(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLAS
 
     clean = found.where("word_c > 0").where(over_all < SHARE).select("word").distinct()
     safe = tuple(sorted(r["word"] for r in clean.mapInArrow(near, "word string").collect()))
-    found.unpersist()
     return Scorer(lexicon, safe)
 
 
