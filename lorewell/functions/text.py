@@ -95,9 +95,13 @@ def contains_phrase(tokens: Column, phrase: Column) -> Column:
 
 def ngrams(normalized: Column, n: int = 5) -> Column:
     """Distinct character n-grams; a shorter text is its own only one; an empty one has none."""
-    size = F.length(normalized)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(normalized, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(normalized)).otherwise(F.array_distinct(grams))
+
+    def of(chars: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+        return F.when(F.size(chars) == 0, F.array().cast("array<string>")).when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(grams))
+
+    # Characters are taken apart once: a substring by position would count from the start each time.
+    return F.transform(F.array(F.regexp_extract_all(normalized, F.lit("(?s)."), F.lit(0))), of)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

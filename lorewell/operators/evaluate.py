@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def holding(docs: DataFrame, items: DataFrame, n: int = 4) -> DataFrame:
+    """(query_id, block_id) of the ``docs(block_id, text)`` that hold the text of an item ``items(query_id, q)``.
+
+    A text that holds another holds its inner words whole, so both meet by a run of
+    ``n`` words inside the item, the rarest by its hash, and are then compared as
+    texts. Items with fewer inner words are compared with all documents.
+    """
+    words = lambda x: F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    inner = items.select("query_id", "q", F.slice(words("q"), 2, F.greatest(F.size(words("q")) - 2, F.lit(0))).alias("w"))
+    keyed = inner.where(F.size("w") >= n).select("query_id", "q", F.array_min(runs(F.col("w"))).alias("h"))
+    held = docs.select("block_id", "text", words("text").alias("w")).where(F.size("w") >= n).select("block_id", "text", F.explode(F.array_distinct(runs(F.col("w")))).alias("h"))
+    met = held.join(keyed, "h").where(F.contains("text", F.col("q"))).select("query_id", "block_id")
+    few = inner.where(F.size("w") < n).select("query_id", "q")
+    rest = docs.join(few, F.contains("text", F.col("q"))).select("query_id", "block_id")
+    return met.unionByName(rest).distinct()
+
+
 def metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row: means over the queries that have a relevant block. ``hits(query_id, rank, block_id)``, ``relevant(query_id, block_id)``."""
     relevant = relevant.distinct()

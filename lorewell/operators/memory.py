@@ -8,7 +8,11 @@ the last remembering counts, labels and links add up from it on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field as field_, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,18 +26,131 @@ def field(x: Column | str) -> Column:
     return T.collapse(T.normalize(x))
 
 
+INPUT = "kind string, text string, labels array<string>, namespace string, source string, importance double, confidence double, ts bigint, actor string"
+
+
+class InvalidMemory(ValueError):
+    pass
+
+
 def memory_id(kind: Column, text: Column, ts: Column, actor: Column) -> Column:
-    return F.concat(F.lit("mem_"), T.fnv64_column(F.concat_ws("\u0001", kind, text, ts.cast("string"), actor)))
+    """Of normalized fields: the text counts by its words alone."""
+    return F.concat(F.lit("mem_"), T.fnv64_column(F.concat_ws("\u0001", kind, field(text), ts.cast("string"), actor)))
 
 
-def link_id(src: Column, relation: Column, to: Column) -> Column:
-    return F.concat(F.lit("lnk_"), T.fnv64_column(F.concat_ws("\u0001", src, relation, to)))
+def link_id(src: Column, relation: Column, to: Column, confidence: Column, ts: Column, actor: Column) -> Column:
+    """A link is known by its ends, relation and confidence, and by who made it when."""
+    text = F.concat_ws("\u0001", src, relation, to, F.coalesce(F.regexp_replace(confidence.cast("string"), r"\.0$", ""), F.lit("")))
+    return memory_id(F.lit("link"), text, ts, actor)
 
 
 def ratio(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def finite(x: Column, what: str) -> Column:
+    """``ratio``, failing on what is no number."""
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"memory {what} must be a finite number")).cast("double")).otherwise(ratio(x))
+
+
+def named(x: Column, what: str) -> Column:
+    return F.when(F.coalesce(x, F.lit("")) == "", F.raise_error(F.lit(f"memory {what} must not be empty")).cast("string")).otherwise(x)
+
+
+def actor_name(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def normalized(inputs: DataFrame, actor: str = "cortex", ts: int = 0) -> DataFrame:
+    """Memories (id, kind, ..., ts, actor) of ``inputs`` in the columns of ``INPUT``, as ``remember`` rows hold them.
+
+    Fails on a memory without kind or text and on ratios that are no numbers;
+    ratios beyond 0 to 1 are clipped; absent columns and nulls take the defaults.
+    """
+    columns = [c.strip() for c in INPUT.split(",")]
+    rows = inputs.select(*(F.col(n) if n in inputs.columns else F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in columns)))
+    empty = lambda x: F.when(x != "", x)
+    rows = rows.select(
+        named(field("kind"), "kind").alias("kind"),
+        named(F.regexp_replace("text", r"^\s+|\s+$", ""), "text").alias("text"),
+        T.normalized_labels(F.coalesce("labels", F.array().cast("array<string>"))).alias("labels"),
+        empty(T.memory_label(F.coalesce("namespace", F.lit("")))).alias("namespace"),
+        empty(field(F.coalesce("source", F.lit("")))).alias("source"),
+        finite(F.col("importance"), "importance").alias("importance"),
+        finite(F.col("confidence"), "confidence").alias("confidence"),
+        F.coalesce("ts", F.lit(ts).cast("long")).alias("ts"),
+        actor_name(F.coalesce("actor", F.lit(actor))).alias("actor"),
+    )
+    return rows.select(memory_id(F.col("kind"), F.col("text"), F.col("ts"), F.col("actor")).alias("id"), "*")
+
+
+def op_rows(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
+    names = [c.strip().split(" ")[0].strip("`") for c in OPS.split(",")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], OPS)
+
+
+def remembered(memories: DataFrame) -> DataFrame:
+    """``remember`` operations of normalized memories."""
+    null = {"to": "string", "relation": "string"}
+    names = [c.strip().split(" ")[0].strip("`") for c in OPS.split(",")]
+    return memories.withColumn("op", F.lit("remember")).select(*(F.lit(None).cast(null[n]).alias(n) if n in null else F.col(n) for n in names))
+
+
+def clock() -> int:
+    return int(time.time() * 1000)
+
+
+@dataclass(frozen=True)
+class Cortex:
+    """A memory log with its writer. Every write gives a new one."""
+
+    log: DataFrame
+    actor: str = "cortex"
+    now: Callable[[], int] = field_(default=clock)
+
+    @classmethod
+    def create(cls, spark: SparkSession, actor: str = "cortex", now: Callable[[], int] = clock, log: DataFrame | None = None) -> Cortex:
+        return cls(op_rows(spark, []) if log is None else log, " ".join(actor.split()), now)
+
+    def _with(self, ops: DataFrame) -> Cortex:
+        return replace(self, log=self.log.unionByName(ops))
+
+    def _stamp(self, ts: int | None, actor: str | None) -> dict:
+        ts = self.now() if ts is None else ts
+        if isinstance(ts, bool) or not isinstance(ts, (int, float)) or ts != ts or abs(ts) == float("inf"):
+            raise InvalidMemory("memory timestamp must be a finite number")
+        return {"ts": int(ts), "actor": " ".join((self.actor if actor is None else actor).split())}
+
+    def remember(self, inputs: DataFrame) -> tuple[Cortex, DataFrame]:
+        """(after, the memories written), many at once."""
+        memories = normalized(inputs, self.actor, self.now())
+        return self._with(remembered(memories)), memories
+
+    def forget(self, memory: str, ts: int | None = None, actor: str | None = None) -> Cortex:
+        return self._with(op_rows(self.log.sparkSession, [{"op": "forget", "id": memory, **self._stamp(ts, actor)}]))
+
+    def label(self, memory: str, labels: Iterable[str], ts: int | None = None, actor: str | None = None) -> tuple[Cortex, DataFrame]:
+        """(after, the memory as it was before)."""
+        labels = [labels] if isinstance(labels, str) else labels
+        op = {"op": "label", "id": memory, "labels": sorted({p for x in labels if (p := T.plain_label(x))}), **self._stamp(ts, actor)}
+        return self._with(op_rows(self.log.sparkSession, [op])), self.memories().where(F.col("id") == memory)
+
+    def link(self, src: str, to: str, relation: str, confidence: float | None = None, ts: int | None = None, actor: str | None = None) -> Cortex:
+        op = {"op": "link", "id": src, "to": to, "relation": T.plain_normalize(relation), "confidence": confidence, **self._stamp(ts, actor)}
+        return self._with(op_rows(self.log.sparkSession, [op]))
+
+    def memories(self) -> DataFrame:
+        return replay(self.log)
+
+
+def ordered(ops: DataFrame) -> list[Column]:
+    """The total order of a log's operations."""
+    rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("op")]
+    rest = ("id", "kind", "text", "namespace", "source", "importance", "confidence", "to", "relation")
+    return [F.col("ts").asc(), F.col("actor").asc(), rank.asc(), *(F.coalesce(F.col(c).cast("string"), F.lit("")).asc() for c in rest), F.array_join(F.coalesce("labels", F.array().cast("array<string>")), ",").asc()]
+
+
 def replay(ops: DataFrame) -> DataFrame:
     """(id, kind, text, labels, namespace, source, importance, confidence, ts, actor, links) of what is remembered.
 

@@ -54,6 +54,64 @@ def embed(rows: DataFrame, provider: Provider, batch: int = 32, column: str = "t
     return rows.withColumn("embedding", call(F.col(column)))
 
 
+class HttpProvider:
+    """Embeddings from an HTTP service that takes ``{"model", "prompt"}`` and answers ``{"embedding"}``, one request a text."""
+
+    def __init__(self, model_id: str, endpoint: str = "http://localhost:11434", timeout: float = 30.0, path: str = "/api/embeddings"):
+        self.model_id, self.url, self.timeout = model_id, endpoint.rstrip("/") + path, timeout
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> list[float]:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        body = json.dumps({"model": self.model_id, "prompt": text}).encode()
+        try:
+            with urlopen(Request(self.url, body, {"content-type": "application/json"}), timeout=self.timeout) as answer:
+                vector = json.load(answer).get("embedding")
+        except (URLError, OSError, ValueError) as e:
+            raise SemanticError(f"no embedding from {self.url}: {e}") from None
+        if not isinstance(vector, list) or not vector or not all(isinstance(x, (int, float)) for x in vector):
+            raise SemanticError(f"no embedding in the answer of {self.url}")
+        return vector
+
+
+def embed_blocks(blocks: DataFrame, provider: Provider, path: str, fingerprint_: str, created_at: str, batch: int = 32) -> dict:
+    """The vectors of all blocks at ``path``: ``vectors`` (block_id, vector) of length 1, and ``head``, one row that says whose they are.
+
+    Embedding runs in the executors and its result is stored before it is checked, so
+    that no text is embedded twice.
+    """
+    spark = blocks.sparkSession
+    embed(blocks.select("block_id", "text"), provider, batch).select("block_id", V.unit(F.col("embedding")).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
+    stored = spark.read.parquet(f"{path}/vectors")
+    sizes = stored.groupBy(F.size("vector").alias("n")).count().collect()
+    if len(sizes) > 1 or any(r["n"] < 1 for r in sizes):
+        raise SemanticError("vectors differ in dimension")
+    head = {"version": 1, "packFingerprint": fingerprint_, "modelId": provider.model_id, "dimension": sizes[0]["n"] if sizes else 0, "metric": "cosine", "createdAt": created_at}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+    return {**head, "blocks": sizes[0]["count"] if sizes else 0}
+
+
+def inspect(spark, path: str) -> dict:
+    """Head and number of blocks of what ``embed_blocks`` stored, or of a sidecar file."""
+    if path.endswith(".json"):
+        found = parse_sidecar(path)
+        return {k: v for k, v in found.items() if k != "blocks"} | {"blocks": len(found["blocks"])}
+    head = json.loads(spark.read.text(f"{path}/head").first()["value"])
+    return head | {"blocks": spark.read.parquet(f"{path}/vectors").count()}
+
+
+def compatible(provider: Provider, head: dict) -> None:
+    """Fails if a provider's vectors can't be compared with stored ones."""
+    if provider.model_id != head.get("modelId"):
+        raise SemanticError(f"vectors are of {head.get('modelId')!r}, queries of {provider.model_id!r}")
+    if (n := len(provider.embed(["dimension"])[0])) != head.get("dimension"):
+        raise SemanticError(f"vectors have {head.get('dimension')} dimensions, queries {n}")
+
+
 def sidecar_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("block_id", V.unit(F.col("embedding")).alias("vector"))
 

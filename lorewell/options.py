@@ -82,6 +82,23 @@ class Semantic:
         _need(all(isinstance(x, bool) for x in (self.enabled, self.blend, self.force)), "semantic switches must be booleans")
 
 
+@dataclass(frozen=True)
+class Ranking:
+    """Constants of the score, and a hook: ``proximity(span)`` gives a Column of at least 1 and at most ``1 + proximity_weight``."""
+
+    k1: float = 1.5
+    b: float = 0.75
+    phrase_boost: float = 0.6
+    heading_boost: float = 0.3
+    proximity_weight: float = 0.15
+    proximity: Any = None
+
+    def __post_init__(self) -> None:
+        _need(_number(self.k1) and _number(self.b, 0, 1), "ranking.k1 must be at least 0, ranking.b between 0 and 1")
+        _need(all(_number(x) for x in (self.phrase_boost, self.heading_boost, self.proximity_weight)), "ranking boosts must be finite numbers of at least 0")
+        _need(self.proximity is None or callable(self.proximity), "ranking.proximity must be callable")
+
+
 @dataclass(frozen=True)
 class Options:
     top_k: int = 10
@@ -92,6 +109,7 @@ class Options:
     expansion: Expansion = field(default_factory=Expansion)
     graph: Graph = field(default_factory=Graph)
     semantic: Semantic = field(default_factory=Semantic)
+    ranking: Ranking = field(default_factory=Ranking)
     diversify: bool = True
     compat: str = "default"
 

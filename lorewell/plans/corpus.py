@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index as I
+from ..sources import pack
 from . import sql
 
 
@@ -76,17 +77,29 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items against each other by 5-gram sets, those that share any."""
-    g = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.normalize("text").alias("t")).select("item_id", T.ngrams(F.col("t")).alias("g"))
-    a, b = g.select(F.col("item_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("item_id").alias("b"), F.col("g").alias("gb"))
-    rows = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+    """Each document against the one after it by 5-gram sets, those that share any."""
+    g = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.normalize("text").alias("t")).select("doc_id", T.ngrams(F.col("t")).alias("g"))
+    a, b = g.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"))
+    rows = a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
     return rows.where("jaccard > 0")
 
 
+def invalid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that validation refuses, every seventh text being blanked."""
+    d = I.documents(spark, sf_dir).withColumn("text", F.when(F.col("block_id") % 7 == 0, F.lit(" \t\n")).when(F.col("block_id") % 7 == 1, F.lit(None)).otherwise(F.col("text")))
+    return I.split_invalid(d)[1].select("block_id", "namespace")
+
+
+def pack_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed a hundred a shard, unpacked again: occurrences of each term over all shards."""
+    packs = pack.shards(I.documents(spark, sf_dir), 100)
+    return pack.tables(packs, "postings", "strict").groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+
+
 LITE = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 MARKED = r"'# Title of *' || source || '*' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '``` and `x` see [link ' || lang || '](http://a.b/c) end' || chr(10) || text"
 
-QUERIES = {f.__name__: f for f in (tok_counts, block_lengths, lite_lengths, corpus_stats, postings_terms, lexicon_idf, term_ids, strip_markdown, kns_signature, fnv_ids, fnv64_ids, sentences, jaccard_pairs)}
+QUERIES = {f.__name__: f for f in (tok_counts, block_lengths, lite_lengths, corpus_stats, postings_terms, lexicon_idf, term_ids, strip_markdown, kns_signature, fnv_ids, fnv64_ids, sentences, jaccard_pairs, invalid_docs, pack_shards)}
 ORACLES = {
     "tok_counts": f"WITH {sql.TOK} SELECT term, count(*) AS n, count(DISTINCT block_id) AS docs FROM (SELECT block_id, unnest(tokens) AS term FROM tok) GROUP BY term",
     "block_lengths": f"WITH {sql.TOK} SELECT block_id, len(tokens) AS len, array_to_string(tokens, ' ') AS tokens FROM tok",
@@ -105,7 +118,9 @@ ORACLES = {
         lambda h, c: xor(h, c) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)).lower(), 16, '0') AS hash FROM documents""",
     "sentences": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
         SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""",
-    "jaccard_pairs": f"""WITH t AS (SELECT item_id, {sql.normal('text')} AS t FROM benchmark), g AS (SELECT item_id, CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM t),
-        j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.g, b.g))::DOUBLE AS c, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.item_id < b.item_id)
+    "jaccard_pairs": f"""WITH t AS (SELECT doc_id, {sql.normal('text')} AS t FROM documents), g AS (SELECT doc_id, CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM t),
+        j AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g))::DOUBLE AS c, len(a.g) + len(b.g) AS n FROM g a JOIN g b ON a.doc_id + 1 = b.doc_id)
         SELECT a, b, round(c / (n - c), 6) AS jaccard FROM j WHERE round(c / (n - c), 6) > 0""",
+    "invalid_docs": r"SELECT doc_id AS block_id, lang AS namespace FROM documents WHERE doc_id % 7 IN (0, 1) OR trim(regexp_replace(text, '\s+', '', 'g')) = ''",
+    "pack_shards": f"WITH {sql.TOK} SELECT term, count(*) AS n, count(DISTINCT block_id) AS docs FROM (SELECT block_id, unnest(tokens) AS term FROM tok) GROUP BY term",
 }

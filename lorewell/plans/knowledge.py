@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import agents as A
 from ..operators import graph as G
+from ..operators import index as I
 from ..operators import live as L
 from ..operators import memory as M
 from ..operators import retrieve as R
 from ..options import Graph as GraphOptions
 from ..options import Options
-from . import sql
+from ..shared import shared_dir
+from ..sources import logs
+from . import retrieval, sql
 
+LIVE = [(1, "fresh note again"), (2, "src3 new the"), (3, "der und src7")]
 NOTE = "# Note on {lang}\nThe {source} corpus is a set of {lang} texts.\nSee [guide {source}](http://example.org/{lang}) and [[{lang} log]].\nThis is it.\n"
 
 
@@ -138,8 +144,8 @@ def memory_claim_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select("item_id", T.memory_label("text").alias("label"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", T.memory_label("text").alias("label"))
 
 
 def label_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +176,70 @@ def routing_profile_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.profile_lists(d.select("doc_id", raw.alias("tags")), "tags").select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
+def graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's node with the edges that leave and reach it."""
+    labels, out, in_ = G.index(G.build(noted(spark, sf_dir)))
+    side = lambda df, name: df.select("id", F.md5(F.array_join("edges", ",")).alias(name))
+    return labels.join(side(out, "leave"), "id", "left").join(side(in_, "reach"), "id", "left").select("label", "id", "leave", "reach")
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the links of web pages: each anchor rewritten as a marked-up link."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = F.regexp_replace("html", r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)")
+    found = G.triples(p.select(F.col("page_id").alias("doc_ord"), F.col("url").alias("doc_id"), F.lit("").alias("heading"), text.alias("text")))
+    return found.where("p = 'ref'").groupBy("doc_ord", "subject", "object").agg(F.count("*").alias("n"))
+
+
+def graph_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log written as lines and read again, replayed."""
+    folder = f"{shared_dir(spark)}/graph-log-{uuid.uuid4().hex}"
+    logs.write(event_log(spark, sf_dir), folder, "graph")
+    return G.replay(logs.read(spark, folder, "graph"))[1].select("id", "src", "p", "dst", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"), "ts", "actor")
+
+
+def live(spark: SparkSession, sf_dir: str) -> L.Live:
+    base, ops = overlay(spark, sf_dir)
+    return L.Live.over(base).applied(ops)
+
+
+def live_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline, expansion and headings included, over the merged corpus."""
+    q = spark.createDataFrame(LIVE, "query_id long, q string")
+    hits = live(spark, sf_dir).query(q, Options(top_k=10, diversify=False))
+    return hits.select("query_id", "rank", F.col("source").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def live_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged corpus stored as an index and loaded again."""
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    live(spark, sf_dir).snapshot(folder)
+    index = I.load(spark, folder)
+    return index.lexicon.select("term", "df").withColumn("blocks", F.lit(index.n).cast("long"))
+
+
+def memory_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as normalized memories, with the ids that their content gives them."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = c.select(
+        F.concat(F.lit(" "), F.upper("role")).alias("kind"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("text"), F.array(F.concat(F.lit("Turn / "), F.col("turn").cast("string")), F.lit("CHAT"), F.lit("")).alias("labels"),
+        F.lit("Chat / Log").alias("namespace"), F.concat(F.lit("Conv: "), (F.col("conv_id") % 10).cast("string")).alias("source"), ((F.col("turn") - 1) / 2.0).alias("importance"),
+        F.col("turn").cast("long").alias("ts"), F.concat(F.lit(" c  "), F.col("conv_id").cast("string")).alias("actor"),
+    )
+    return M.normalized(rows).select("id", "kind", F.md5("text").alias("text"), F.array_join("labels", "|").alias("labels"), "namespace", "source", "importance", "confidence", "ts", "actor")
+
+
+def memory_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory log written as lines and read again, replayed."""
+    folder = f"{shared_dir(spark)}/memory-log-{uuid.uuid4().hex}"
+    logs.write(memory_ops(spark, sf_dir), folder, "memory")
+    m = M.replay(logs.read(spark, folder, "memory"))
+    return m.select("id", "kind", "text", F.array_join("labels", "|").alias("labels"), "namespace", "source", "importance", "ts", "actor", F.array_join(F.transform("links", lambda x: F.concat_ws(">", x["relation"], x["to"])), "|").alias("links"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (graph_triples, graph_edges, graph_cap, graph_one_hop, graph_log_replay, graph_log_nodes, live_merge, live_bm25, memory_replay, memory_recall, memory_browse, memory_consolidate, memory_claim_ops, label_normalize, label_prefix_match, route_select, tool_policy, routing_profile_lists)
+    for f in (graph_triples, graph_edges, graph_cap, graph_one_hop, graph_log_replay, graph_log_nodes, live_merge, live_bm25, memory_replay, memory_recall, memory_browse, memory_consolidate, memory_claim_ops, graph_index, page_links, graph_log_lines, live_query, live_snapshot, memory_input, memory_log_lines, label_normalize, label_prefix_match, route_select, tool_policy, routing_profile_lists)
 }
 
 
@@ -236,7 +303,7 @@ ORACLES = {
       u AS (SELECT label, min({{'t': ts, 'a': actor}}) AS s FROM n GROUP BY own, label), e AS (SELECT own, p, other, min({{'t': ts, 'a': actor}}) AS s FROM t GROUP BY own, p, other)
       SELECT 'upsert_node' AS op, 'n_' || {_fnv('label')} AS id, label, NULL::VARCHAR AS src, NULL::VARCHAR AS p, NULL::VARCHAR AS dst, s.t AS ts, s.a AS actor FROM u
       UNION ALL SELECT 'add_edge', NULL, NULL, 'n_' || {_fnv('own')}, p, 'n_' || {_fnv('other')}, s.t, s.a FROM e""",
-    "label_normalize": r"SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}_-]+', '.', 'g'), '.') AS label FROM benchmark",
+    "label_normalize": r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}_-]+', '.', 'g'), '.') AS label FROM documents",
     "label_prefix_match": "SELECT doc_id, source || '.' || lang AS label FROM documents WHERE source = 'src1' OR (source = 'src2' AND lang = 'en')",
     "route_select": """WITH s AS (SELECT s_nationkey::BIGINT AS d, 'agent-' || s_suppkey AS a, s_suppkey, round(s_acctbal, 0) AS score FROM supplier),
         pick AS (SELECT d, arg_max(s_suppkey, s_suppkey) AS top, arg_min(a, {'s': -score, 'a': a}) FILTER (s_suppkey % 3 = 0) AS best FROM s GROUP BY d)
@@ -244,3 +311,24 @@ ORACLES = {
     "tool_policy": "SELECT event_id, CASE user_id % 3 WHEN 0 THEN event_type IN ('click', 'view') WHEN 1 THEN event_type NOT IN ('click', 'view') ELSE true END AS allowed FROM events",
     "routing_profile_lists": "SELECT doc_id, lang || '|' || source AS tags FROM documents",
 }
+ORACLES["memory_log_lines"] = ORACLES["memory_replay"]
+ORACLES["graph_log_lines"] = ORACLES["graph_log_replay"]
+ORACLES["graph_index"] = f"""WITH {_TRIPLES}, {_EDGES}, l AS (SELECT subject AS label, src AS id FROM e UNION SELECT object, dst FROM e), o AS (SELECT src AS id, md5(string_agg(id, ',' ORDER BY id)) AS leave FROM e GROUP BY src), r AS (SELECT dst AS id, md5(string_agg(id, ',' ORDER BY id)) AS reach FROM e GROUP BY dst)
+    SELECT label, id, leave, reach FROM l LEFT JOIN o USING (id) LEFT JOIN r USING (id)"""
+ORACLES["graph_one_hop"] = f"""WITH {_TRIPLES}, {_EDGES}, nodes AS (SELECT subject AS label, src AS id FROM e UNION SELECT object, dst FROM e),
+    qs AS (SELECT query_id, q, {sql.tokens('q')} AS own FROM (VALUES (1, 'src3 note'), (2, 'guide src1'), (3, 'nothing here')) v(query_id, q)), each AS (SELECT query_id, unnest(list_distinct(own)) AS t FROM qs),
+    near AS (SELECT query_id, id, min({{'k': k, 't': t, 'l': label}}) AS spot FROM (SELECT query_id, id, 0 AS k, '' AS t, label FROM each JOIN nodes ON t = label UNION ALL SELECT query_id, id, 1, t, label FROM each JOIN nodes ON starts_with(label, t)) GROUP BY query_id, id),
+    seen AS (SELECT query_id, id FROM near QUALIFY spot.k = 0 OR row_number() OVER (PARTITION BY query_id ORDER BY spot) <= 24),
+    words AS (SELECT query_id, src, e.id AS edge, {sql.tokens('n.label')} AS w FROM seen JOIN e ON e.src = seen.id AND p IN ('defined_as', 'is', 'mentions', 'ref') JOIN nodes n ON n.id = e.dst),
+    fresh AS (SELECT query_id, term, min({{'s': src, 'e': edge, 'p': pos}}) AS spot FROM (SELECT query_id, src, edge, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words) f WHERE NOT EXISTS (SELECT 1 FROM each WHERE each.query_id = f.query_id AND each.t = f.term) GROUP BY query_id, term QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY spot) <= 6)
+    SELECT query_id::BIGINT AS query_id, trim(q || ' ' || coalesce((SELECT string_agg(term, ' ' ORDER BY term) FROM fresh WHERE fresh.query_id = qs.query_id), '')) AS q FROM qs"""
+ORACLES["page_links"] = rf"""WITH m AS (SELECT page_id, regexp_replace(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '[\2](\1)', 'g') AS t FROM pages),
+    raw AS (SELECT page_id, unnest(regexp_extract_all(t, '\[([^\]]{{1,200}})\]\(([^)\s]{{1,200}})\)', 1)) AS a, unnest(regexp_extract_all(t, '\[([^\]]{{1,200}})\]\(([^)\s]{{1,200}})\)', 2)) AS b FROM m)
+    SELECT page_id AS doc_ord, subject, object, count(*) AS n FROM (SELECT page_id, {_label('a')} AS subject, {_label('b')} AS object FROM raw) WHERE subject <> '' AND object <> '' GROUP BY ALL"""
+_LIVE_INDEX = f"{_LIVE}, tok AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS block_id, doc_id, heading, namespace, text, {sql.tokens('text')} AS tokens FROM merged), {sql.POST}, {sql.LEX}, {sql.STATS}"
+ORACLES["live_query"] = retrieval._lexical_sql(LIVE, prf=True, heading="coalesce(heading, '')", index_sql=_LIVE_INDEX, final=f", {retrieval.POOLED} SELECT query_id, n AS rank, doc_id, round(ks, 6) AS score FROM boosted JOIN (SELECT block_id, doc_id FROM tok) USING (block_id) WHERE n <= 10")
+ORACLES["live_snapshot"] = f"WITH {_LIVE_INDEX} SELECT term, df, (SELECT count(*) FROM tok) AS blocks FROM lex"
+_HASH64 = "lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({0}, ''), lambda x: unicode(x)::UHUGEINT)), lambda h, c: xor(h, c) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)).lower(), 16, '0')"
+ORACLES["memory_input"] = rf"""WITH c AS (SELECT role AS kind, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, trim(regexp_replace({sql.normal('text')}, '\s+', ' ', 'g')) AS plain, turn, conv_id, 'c ' || conv_id AS actor FROM conversations)
+    SELECT 'mem_' || {_HASH64.format("(kind || chr(1) || plain || chr(1) || turn || chr(1) || actor)")} AS id, kind, md5(t) AS text, 'chat|turn.' || turn AS labels, 'chat.log' AS namespace, 'conv ' || (conv_id % 10) AS source,
+      greatest(0, least(1, (turn - 1) / 2.0::DOUBLE))::DOUBLE AS importance, NULL::DOUBLE AS confidence, turn::BIGINT AS ts, actor FROM c"""

@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import service
 from ..functions import text as T
 from ..operators import evaluate as E
 from ..operators import index as I
@@ -145,14 +146,32 @@ def cli_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality at 5 of BM25 over benchmark texts; relevant: documents that hold the item's text."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("block_id"), "text")
-    q = benchmark(spark, sf_dir)
-    relevant = d.join(F.broadcast(q), F.contains(F.col("text"), F.col("q"))).select("query_id", "block_id")
-    return E.metrics(bm25_batch(spark, sf_dir), relevant, 5)
+    return E.metrics(bm25_batch(spark, sf_dir), E.holding(d, benchmark(spark, sf_dir)), 5)
+
+
+def lite_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.build(I.documents(spark, sf_dir), tokenizer=T.lite_tokenize)
+
+
+def service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service's search for every benchmark text; it gives fifty rows at most, whatever is asked for."""
+    return service.search(lite_index(spark, sf_dir), benchmark(spark, sf_dir), 60).select("query_id", "rank", "block_id", F.round("score", 6).alias("score"), F.length("text").alias("size"), "source", "namespace")
+
+
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the chat route: numbered snippets below a line."""
+    return R.chat_rows(plain_hits(spark, sf_dir)).select("query_id", "answer", F.array_join(F.transform("hits", lambda h: h["title"]), "|").alias("titles"))
+
+
+def adapter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as retriever adapters hand them on."""
+    rows = R.adapter_rows(plain_hits(spark, sf_dir).withColumn("namespace", F.lit(None).cast("string")))
+    return rows.select("query_id", "rank", F.md5("page_content").alias("page"), F.round("metadata.score", 4).alias("score"), "metadata.source", "metadata.namespace", "metadata.id")
 
 
 def lite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small runtimes: hyphens split, no boosts of order, ties by block."""
-    ix = I.build(I.documents(spark, sf_dir), tokenizer=T.lite_tokenize)
+    ix = lite_index(spark, sf_dir)
     q = R.parsed(batch(spark, BATCH), Options(), T.lite_tokenize)
     rows = R.matches(ix, R.weighted_terms(q)).groupBy("query_id", "block_id").agg(F.round(F.sum("part"), 6).alias("score"))
     top = rows.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long"))
@@ -162,7 +181,7 @@ def lite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     name: f
     for name, f in globals().copy().items()
-    if name in ("bm25_topk", "bm25_batch", "lexical_full", "filter_namespace", "filter_source", "filter_min_score", "phrase_required", "phrase_rescue", "heading_boost", "cover_span", "prf_terms", "prf_rescore", "kns_boost", "lex_confidence", "mmr_topk", "retrieve_benchmark", "context_patch", "cli_snippets", "eval_metrics", "lite_query")
+    if name in ("bm25_topk", "bm25_batch", "lexical_full", "filter_namespace", "filter_source", "filter_min_score", "phrase_required", "phrase_rescue", "heading_boost", "cover_span", "prf_terms", "prf_rescore", "kns_boost", "lex_confidence", "mmr_topk", "retrieve_benchmark", "context_patch", "cli_snippets", "eval_metrics", "lite_query", "service_search", "chat_rows", "adapter_rows")
 }
 
 
@@ -238,4 +257,30 @@ ORACLES = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS rank, block_id, score FROM (
           SELECT query_id, block_id, round(sum({sql.part()}), 6) AS score FROM q JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY query_id, block_id) QUALIFY rank <= 5""",
 }
+_KNS = f"(1 - ({_CIRC.format('s1', 257)} + {_CIRC.format('s2', 263)} + {_CIRC.format('s3', 269)}) / 3)"
+#: The pool of fifty after the signature's boost, best first.
+POOLED = f"""boosted AS MATERIALIZED (SELECT query_id, block_id, text, row_number() OVER (PARTITION BY query_id ORDER BY ks DESC, rank) AS n, ks FROM (
+    SELECT query_id, block_id, text, rank, score * (1 + 0.02::DOUBLE * {_KNS}) AS ks FROM (
+      SELECT r.query_id, r.block_id, r.rank, r.score, text, {_SIG.format(_CODES.format(sql.normal('q')))} AS a, {_SIG.format(_CODES.format('text'))} AS b FROM ranks r JOIN qs USING (query_id) JOIN tok USING (block_id) WHERE rank <= 50)))"""
+ORACLES["mmr_topk"] = _lexical_sql(
+    BATCH,
+    prf=True,
+    final=f""", {POOLED},
+    pool AS MATERIALIZED (SELECT query_id, block_id, n, ks, CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM (SELECT *, {sql.normal('text')} AS t FROM boosted)),
+    pairs AS (SELECT a.query_id, a.n AS x, b.n AS y, len(list_intersect(a.g, b.g))::DOUBLE AS c, len(a.g) + len(b.g) AS m FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.n < b.n),
+    sim AS MATERIALIZED (SELECT query_id, x, y, c / (m - c) AS s FROM pairs UNION ALL SELECT query_id, y, x, c / (m - c) FROM pairs),
+    steps(query_id, k, kept) AS (
+      SELECT DISTINCT query_id, 0, []::BIGINT[] FROM pool
+      UNION ALL
+      SELECT query_id, k + 1, list_append(kept, arg_max(n, {{'v': 0.8::DOUBLE * ks - 0.2::DOUBLE * w, 'n': -n}})) FROM (
+        SELECT st.query_id, st.k, st.kept, p.n, p.ks, coalesce(max(s) FILTER (list_contains(st.kept, sim.y)), 0) AS w
+        FROM steps st JOIN pool p USING (query_id) LEFT JOIN sim ON sim.query_id = p.query_id AND sim.x = p.n WHERE st.k < 10 AND NOT list_contains(st.kept, p.n) GROUP BY ALL) WHERE w < 0.92 GROUP BY query_id, k, kept)
+    SELECT query_id, rank, block_id, round(ks, 6) AS score FROM (SELECT query_id, unnest(kept) AS n, unnest(range(1, len(kept) + 1)) AS rank FROM steps QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1) JOIN pool USING (query_id, n)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["service_search"] = rf"""WITH tok AS MATERIALIZED (SELECT doc_id AS block_id, text, lang, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS tokens FROM documents), {sql.POST}, {sql.LEX}, {sql.STATS},
+    q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))) AS term FROM benchmark),
+    s AS (SELECT query_id, block_id, round(sum({sql.part()}), 9) AS score FROM q JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY query_id, block_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) <= 50)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS rank, block_id, round(score, 6) AS score, length(text) AS size, block_id::VARCHAR AS source, lang AS namespace FROM s JOIN tok USING (block_id)"""
+ORACLES["chat_rows"] = rf"""{_BATCHED} SELECT query_id, 'Passages found:' || chr(10) || chr(10) || string_agg(rank || '. ' || substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 220), chr(10) ORDER BY rank) AS answer, string_agg(block_id::VARCHAR, '|' ORDER BY rank) AS titles FROM hits JOIN tok USING (block_id) GROUP BY query_id"""
+ORACLES["adapter_rows"] = f"{_BATCHED} SELECT query_id, rank, md5(text) AS page, round(raw, 4) AS score, block_id::VARCHAR AS source, NULL::VARCHAR AS namespace, block_id AS id FROM hits JOIN tok USING (block_id)"
 ORACLES["filter_source"] = _lexical_sql(BATCH, "source IN ('src3', 'src0')")

@@ -39,6 +39,38 @@ def collected(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, [walk(spark, s["path"], s["name"]) for s in sources])
 
 
+def build_project(spark: SparkSession, config_path: str, strict: bool = True) -> dict:
+    """Builds what a configuration names: its sources as one stored index at ``output.path``, blocks in the order of the files' paths.
+
+    Fails on a blank document with ``strict``. Returns the place and the number of blocks.
+    """
+    from ..operators import index as I
+    from ..shared import numbered
+
+    found = config(config_path)
+    root = os.path.dirname(os.path.abspath(config_path))
+    place = lambda p: p if "://" in p or p.startswith("/") else f"{root}/{p}"
+    out = place((found.get("output") or {}).get("path") or "dist/knowledge")
+    docs = collected(spark, [{**s, "path": place(s["path"])} for s in found["sources"]])
+    docs = numbered(docs, [F.col("doc_id").asc(), F.col("namespace").asc()], "block_id")
+    index = I.build(docs, markdown=True, strict=strict)
+    if not index.n:
+        raise SourceError("no supported files found")
+    I.save(index, out)
+    return {"path": out, "blocks": index.n}
+
+
+def checked_embeddings(vectors: DataFrame, blocks: int) -> DataFrame:
+    """``vectors`` if there is one of each block and all are numbers of one width; fails otherwise."""
+    bad = F.col("embedding").isNull() | (F.size("embedding") < 1) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    row = vectors.agg(F.count("*").alias("n"), F.countDistinct(F.size("embedding")).alias("widths"), F.count_if(bad).alias("bad")).first()
+    if row["n"] != blocks:
+        raise SourceError(f"{row['n']} embeddings for {blocks} blocks")
+    if row["bad"] or row["widths"] > 1:
+        raise SourceError("embeddings must be finite numbers of one width")
+    return vectors
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """An array of documents, or one per line."""
     rows = spark.read.json(path, schema=DOCUMENT, multiLine=True)

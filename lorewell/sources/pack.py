@@ -17,6 +17,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMAS = {
@@ -161,8 +162,16 @@ def encode(meta: dict, lexicon: list[tuple[str, int]], postings: list[tuple[int,
     return out + (section(graph) if graph else b"")
 
 
-def from_index(index, graph: tuple[DataFrame, DataFrame] | None = None) -> bytes:
-    """A pack of an index. Packs are one file held in memory by design, so rows are streamed to the driver."""
+def has_vectors(spark: SparkSession, path: str) -> bool:
+    """Whether any pack at ``path`` holds vectors."""
+    return bool(read(spark, path, "vectors").limit(1).collect())
+
+
+def from_index(index, graph: tuple[DataFrame, DataFrame] | None = None, vectors: DataFrame | None = None, model_id: str = "") -> bytes:
+    """A pack of an index. Packs are one file held in memory by design, so rows are streamed to the driver; ``shards`` has no such bound.
+
+    ``vectors(block_id, embedding)`` must be one of each block, all of one width.
+    """
     from ..operators.index import term_ids
 
     ids = term_ids(index.blocks)
@@ -177,7 +186,98 @@ def from_index(index, graph: tuple[DataFrame, DataFrame] | None = None) -> bytes
         edges = [{"id": r["id"], "from": r["src"], "p": r["p"], "to": r["dst"], "evidence": r["evidence"]} for r in graph[1].orderBy("id").toLocalIterator()]
         body = {"version": 1, "nodes": nodes, "edges": edges}
         meta["claimGraph"] = {"version": 1, "nodes": len(nodes), "edges": len(edges)}
-    return encode(meta, lexicon, postings, blocks, None, body)
+    held = None
+    if vectors is not None:
+        from ..operators.semantic import quantized
+
+        rows = [(r["block_id"], r["q"], r["scale"]) for r in quantized(vectors).orderBy("block_id").toLocalIterator()]
+        places = [r["block_id"] for r in index.blocks.select("block_id").orderBy("block_id").toLocalIterator()]
+        if [b for b, _, _ in rows] != places or not rows or len({len(q or ()) for _, q, _ in rows}) != 1 or not rows[0][1]:
+            raise InvalidPack(f"vectors must be one of each of {len(places)} blocks, of one width")
+        held = model_id, [(q, s) for _, q, s in rows]
+    return encode(meta, lexicon, postings, blocks, held, body)
+
+
+def shards(docs: DataFrame, per_shard: int = 100_000) -> DataFrame:
+    """(shard, content): packs of ``per_shard`` blocks of ``docs(block_id, text, ...)`` in a row of ids, each made whole by one task.
+
+    A shard has a lexicon and postings of its own, numbered from its first block; no
+    task or driver holds more than one.
+    """
+    from ..operators.index import blocks
+    from ..shared import numbered
+
+    rows = numbered(blocks(docs), [F.col("block_id").asc()], "n")
+    rows = rows.select((F.col("n") / per_shard).cast("long").alias("shard"), "n", "text", "heading", "doc_id", "namespace", "tokens")
+
+    def made(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        ids: dict[str, int] = {}
+        places: dict[int, dict[int, list[int]]] = {}
+        for at, tokens in enumerate(pdf["tokens"]):
+            for pos, t in enumerate(tokens):
+                places.setdefault(ids.setdefault(t, len(ids) + 1), {}).setdefault(at, []).append(pos)
+        postings = [(term, at, found) for term, by in places.items() for at, found in by.items()]
+        clean = lambda x: x if isinstance(x, str) else None
+        held = [{"text": t or "", "heading": clean(h), "docId": clean(d), "namespace": clean(s), "len": len(k)} for t, h, d, s, k in zip(pdf["text"], pdf["heading"], pdf["doc_id"], pdf["namespace"], pdf["tokens"])]
+        meta = {"version": 3, "stats": {"docs": len(held), "blocks": len(held), "terms": len(ids), "avgBlockLen": sum(b["len"] for b in held) / len(held)}}
+        return pd.DataFrame({"shard": [key[0]], "content": [encode(meta, list(ids.items()), postings, held)]})
+
+    return rows.groupBy("shard").applyInPandas(made, "shard long, content binary")
+
+
+def write_shards(packs: DataFrame, path: str) -> None:
+    """Each shard as ``part-<shard>.pack`` below ``path``, on any file system that Arrow knows (local, HDFS, S3)."""
+
+    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        for pdf in parts:
+            system.create_dir(folder, recursive=True)
+            for n, raw in zip(pdf["shard"], pdf["content"]):
+                with system.open_output_stream(f"{folder}/part-{n:06d}.pack") as f:
+                    f.write(raw)
+            yield pdf[["shard"]]
+
+    packs.mapInPandas(store, "shard long").write.format("noop").mode("overwrite").save()
+
+
+def tables(packs: DataFrame, table: str, mode: str = "lenient") -> DataFrame:
+    """A table of packs held in rows ``(shard, content)``."""
+    names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for n, raw in zip(pdf["shard"], pdf["content"]):
+                found = pd.DataFrame(decode(bytes(raw), mode)[table], columns=names).astype(object)
+                found.insert(0, "shard", n)
+                yield found
+
+    return packs.mapInPandas(rows, "shard long, " + SCHEMAS[table])
+
+
+def to_index(spark: SparkSession, path: str, mode: str = "lenient"):
+    """An index over all packs at ``path``; blocks are numbered over the packs, in the order of their files."""
+    from ..functions import text as T
+    from ..operators.index import Index, lexicon
+
+    files = spark.read.format("binaryFile").load(path)
+    names = {r["path"]: n for n, r in enumerate(files.select("path").orderBy("path").collect())}  # a row a pack
+    where = F.broadcast(spark.createDataFrame(list(names.items()) or [("", 0)], "path string, shard long"))
+    files = files.join(where, "path").select("shard", "content")
+    sizes = tables(files, "blocks", mode).groupBy("shard").agg(F.max("block_id").alias("last")).orderBy("shard").collect()  # a row a pack
+    at, rows = 0, []
+    for r in sizes:
+        rows.append((r["shard"], at))
+        at += r["last"] + 1
+    where = F.broadcast(spark.createDataFrame(rows or [(0, 0)], "shard long, first long"))
+    moved = lambda df: df.join(where, "shard").withColumn("block_id", F.col("block_id") + F.col("first")).drop("first", "shard")
+    blocks = moved(tables(files, "blocks", mode)).withColumn("tokens", T.tokenize(F.coalesce("text", F.lit(""))))
+    blocks = blocks.select("block_id", "text", F.col("text").alias("raw"), "heading", "doc_id", "namespace", F.lit(None).cast("string").alias("source"), "tokens", F.coalesce("len", F.size("tokens").cast("long")).alias("len"))
+    postings = moved(tables(files, "postings", mode)).join(blocks.select("block_id", "len"), "block_id").select("term", "block_id", "len", "tf", "positions")
+    stats = blocks.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    return Index(blocks, postings, lexicon(postings), stats["n"], stats["avg"] or 1.0)
 
 
 def read(spark: SparkSession, path: str, table: str, mode: str = "lenient") -> DataFrame:
@@ -202,18 +302,28 @@ class _Reader(DataSourceReader):
         self.path, self.table, self.mode = options["path"], options.get("table", "blocks"), options.get("mode", "lenient")
 
     def partitions(self) -> list[_File]:
-        import glob
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)
+        if "*" in at:
+            import fnmatch
 
-        path = self.path.removeprefix("file://")
-        return [_File(p) for p in sorted(glob.glob(path)) or [path]]
+            found = system.get_file_info(fs.FileSelector(at.rsplit("/", 1)[0]))
+            return [_File(i.path) for i in sorted(found, key=lambda i: i.path) if fnmatch.fnmatch(i.path, at)]
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            return [_File(i.path) for i in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda i: i.path) if i.is_file]
+        return [_File(at)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)
+        with system.open_input_stream(partition.path) as f:
             yield from decode(f.read(), self.mode)[self.table]
 
 
 class PackSource(DataSource):
-    """``spark.read.format("pack").option("table", "postings").load(path)`` for packs on a mounted file system."""
+    """``spark.read.format("pack").option("table", "postings").load(path)`` for packs on any file system that Arrow knows."""
 
     @classmethod
     def name(cls) -> str:

@@ -14,7 +14,7 @@ def test_every_vector_is_a_query(spark, data):
     ids = [r["vec_id"] for r in rows]
     x = np.array([r["embedding"] for r in rows], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = P.cosine_all(spark, data).collect()
+    got = P.cosine_top(spark, data).collect()
     want = {(q, r): s for q, _, s, r in brute(ids, np.round(x @ x.T, 6))}
     assert {(r["query_id"], r["rank"]): r["cosine"] for r in got} == pytest.approx(want, abs=2e-6) and len(got) == 5 * len(ids)
     q = {r["block_id"]: r["q"] for r in S.quantized(P.vectors(spark, data)).collect()}
