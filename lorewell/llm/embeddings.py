@@ -1,4 +1,8 @@
-"""Operator 6: all pairs of embeddings with a cosine of ``COSINE`` or more.
+"""Operator 6: embeddings that have near-duplicates, at a cosine of ``COSINE`` or more.
+
+``linked`` gives one row a vector: its class (the smallest id that links lead to) and
+the number of vectors it is linked with. Equal vectors are joined once, as one with a
+weight. ``near_pairs`` gives the pairs themselves.
 
 On unit vectors that is a range join with radius r = sqrt(2 - 2 * COSINE), and
 exact. Each vector belongs to the cell of its nearest pivot. A partner y of x in
@@ -9,7 +13,8 @@ sharper form that x is within r of the plane between the two pivots,
 are replicated to cell j, in one direction only (from the higher cell to the
 lower), so every pair meets in exactly one cell. Cells join independently; a
 cell with more than ``BLOCK`` rows on a side is cut into blocks of own rows x
-visiting rows, each a task's work, so no task grows with the data.
+visiting rows, each a task's work, so no task grows with the data. Vectors are placed once and stored
+with the list of their cells; copies are made from that.
 
 Pivots are the ``vectors / CELL`` rows (at most ``PIVOTS``) with the smallest
 hash of their id. Their number changes the cost, never the result.
@@ -21,7 +26,7 @@ approaches all pairs, at matrix-product speed.
 The join runs once for each width found.
 
 Cases: vectors that are null, empty, zero or that hold nulls or NaN have no
-direction and no partners, and vectors of different widths don't pair; equal vectors pair
+direction and no partners, are classes of their own, and vectors of different widths don't pair; equal vectors pair
 with cosine 1; of rows that repeat a ``vec_id`` the smallest vector counts; rows
 with a null id are left out; an empty table gives an empty result; extra columns
 are ignored.
@@ -38,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, pick, table
+from ._components import components
 
 COSINE = 0.95
 CELL = 4096
@@ -64,17 +70,54 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def near_pairs(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """(vec_a, vec_b, cosine) of every pair, vec_a < vec_b, once."""
-    spark = vectors.sparkSession
+    rows = checkpointed(valid(vectors).withColumn("copies", F.lit(1).cast("long")))
+    return _joined(rows, cosine, cell, block, pairs, SCHEMA)
+
+
+def linked(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """(vec_id, class_id, n_links) of every id. No pair leaves a task: links are counted, and only what connects is passed on."""
     rows = checkpointed(valid(vectors))
+    one = checkpointed(rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("width", F.size("embedding")))
+    met = checkpointed(_joined(one, cosine, cell, block, degrees, "vec_id long, n long, root long"))
+    roots = components(met.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
+    count = met.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    own = one.select("embedding", F.col("vec_id").alias("first"), "copies").join(count.withColumnRenamed("vec_id", "first"), "first", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    found = rows.join(own, "embedding").select("vec_id", F.coalesce("root", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    ids = pick(vectors, "vec_id").where("vec_id is not null").distinct()
+    return ids.join(found, "vec_id", "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def pairs(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, weight: dict) -> pa.Table:
+    return pa.table({"vec_a": np.minimum(a, b), "vec_b": np.maximum(a, b), "cosine": np.round(cosine, 4)})
+
+
+def degrees(a: np.ndarray, b: np.ndarray, cosine: np.ndarray, weight: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Of a task's pairs: each vector's links, weighted by copies, and the smallest id that they lead to."""
+    ids, copies = weight
+    both, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    held = copies[np.searchsorted(ids, both)]
+    n = np.bincount(x, held[y], len(both)) + np.bincount(y, held[x], len(both))
+    label = np.arange(len(both))
+    while len(x) and (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return pa.table({"vec_id": both, "n": n.astype(np.int64), "root": both[label]})
+
+
+def _joined(rows: DataFrame, cosine: float, cell: int, block: int, out, schema: str) -> DataFrame:
     widths = rows.groupBy("width").count().where("count > 1").orderBy("width").collect()
     if not widths:
-        return spark.createDataFrame([], SCHEMA)
-    found = [_of_width(rows.where(F.col("width") == w["width"]).select("vec_id", "embedding"), w["width"], w["count"], cosine, cell, block) for w in widths]
+        return rows.sparkSession.createDataFrame([], schema)
+    found = [_of_width(rows.where(F.col("width") == w["width"]).select("vec_id", "embedding", "copies"), w["width"], w["count"], cosine, cell, block, out, schema) for w in widths]
     return reduce(DataFrame.unionByName, found)
 
 
-def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, block: int) -> DataFrame:
-    """The pairs of ``n`` valid vectors of one width."""
+def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, block: int, out, schema: str) -> DataFrame:
+    """What ``out`` makes of the pairs of ``n`` valid vectors of one width."""
     spark = rows.sparkSession
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(PIVOTS, n // cell))).toArrow()
     pivots = unit(chosen["embedding"].combine_chunks(), width)
@@ -94,18 +137,21 @@ def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, blo
                 visits = (np.sqrt(square) - np.sqrt(own) <= 2 * radius) & (square - own <= 2 * radius * between[home] + 1e-9)
                 visits &= np.arange(len(pivots)) < home[:, None]
                 row, to = np.nonzero(visits)
-                row, to = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, to))
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(home[row] == to), *(c.take(pa.array(row)) for c in part.columns)], names=["cell", "own", "vec_id", "embedding"])
+                ends = np.concatenate(([0], np.cumsum(visits.sum(axis=1)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(to.astype(np.int32)))], names=["vec_id", "embedding", "copies", "home", "visits"])
 
-    placed = rows.mapInArrow(place, "cell int, own boolean, vec_id long, embedding array<float>")
-    counts = {r["cell"]: (r["own"], r["all"]) for r in placed.groupBy("cell").agg(F.sum(F.col("own").cast("long")).alias("own"), F.count("*").alias("all")).collect()}
+    stored = checkpointed(rows.mapInArrow(place, "vec_id long, embedding array<float>, copies long, home int, visits array<int>"))
+    cells = F.concat(F.array("home"), "visits")
+    counts = stored.select("home", F.explode(cells).alias("cell")).groupBy("cell").agg(F.count_if(F.col("cell") == F.col("home")).alias("own"), F.count("*").alias("all"))
     # A task holds own rows of one part and rows (own and visiting) of one part.
-    parts = spark.createDataFrame([(c, max(1, -(-own // block)), max(1, -(-n // block))) for c, (own, n) in counts.items()] or [(0, 1, 1)], "c int, own_parts int, all_parts int")
-    cut = placed.join(F.broadcast(parts), F.col("cell") == F.col("c"))
+    parts = [(r["cell"], max(1, -(-r["own"] // block)), max(1, -(-r["all"] // block))) for r in counts.collect()]  # a row a pivot
+    sizes = F.broadcast(spark.createDataFrame(parts or [(0, 1, 1)], "cell int, own_parts int, all_parts int"))
+    cut = stored.withColumn("cell", F.explode(cells)).drop("visits").withColumn("own", F.col("cell") == F.col("home")).join(sizes, "cell")
     a = F.pmod(F.xxhash64("vec_id"), F.col("own_parts")).cast("int")
     z = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("all_parts")).cast("int")
-    left = cut.where("own").select("cell", a.alias("a"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("z"), F.lit(True).alias("left"), "own", "vec_id", "embedding")
-    right = cut.select("cell", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("a"), z.alias("z"), F.lit(False).alias("left"), "own", "vec_id", "embedding")
+    columns = ["own", "vec_id", "embedding", "copies"]
+    left = cut.where("own").select("cell", a.alias("a"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("z"), F.lit(True).alias("left"), *columns)
+    right = cut.select("cell", F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("a"), z.alias("z"), F.lit(False).alias("left"), *columns)
 
     def join(key, data):
         side = data["left"].to_numpy()
@@ -113,7 +159,9 @@ def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, blo
         x = unit(data["embedding"].combine_chunks(), width)
         order_l, order_r = np.flatnonzero(side), np.flatnonzero(~side)
         quick = x.astype(np.float32)
-        out = []
+        known, first = np.unique(ids, return_index=True)
+        weight = known, data["copies"].to_numpy()[first]
+        found = []
         for i in range(0, len(order_l), 1024):
             l = order_l[i : i + 1024]
             for j in range(0, len(order_r), 4096):
@@ -126,23 +174,22 @@ def _of_width(rows: DataFrame, width: int, n: int, cosine: float, cell: int, blo
                     u, v = p[at : at + 65536], q[at : at + 65536]
                     c = (x[u] * x[v]).sum(axis=1)
                     ok = c >= cosine
-                    out.append((np.minimum(ids[u], ids[v])[ok], np.maximum(ids[u], ids[v])[ok], c[ok]))
-        if not out:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        first, second, c = (np.concatenate([o[k] for o in out]) for k in range(3))
-        return pa.table({"vec_a": first, "vec_b": second, "cosine": np.round(c, 4)})
+                    found.append(out(ids[u][ok], ids[v][ok], c[ok], weight))
+        none = np.zeros(0, np.int64)
+        return pa.concat_tables(found or [out(none, none, np.zeros(0), weight)])
 
-    return left.unionByName(right).groupBy("cell", "a", "z").applyInArrow(join, SCHEMA)
+    return left.unionByName(right).groupBy("cell", "a", "z").applyInArrow(join, schema)
 
 
 def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return linked(table(spark, sf_dir, "embeddings"))
 
 
-ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine
-FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b)
+SELECT a AS vec_id, min(b) AS class_id, (SELECT count(*) FROM pairs WHERE pairs.a = reach.a) AS n_links FROM reach GROUP BY a
 """
 
 QUERIES = {"op6_embedding_near_dup": op6_embedding_near_dup}

@@ -9,13 +9,16 @@ Decoding is loss-weighted: each bit contributes the logistic loss of its margin
 against the codeword's bit, times the bit's weight (log-odds of its training
 accuracy), and the nearest codeword wins. The gap to the runner-up, as a share
 of the total weight, is the margin; a document is ambiguous below
-``MIN_MARGIN`` and rejected only if it has no letters at all or is ambiguous
-while being at least ``MIN_TRIGRAMS`` long: short clean texts stay.
+``MIN_MARGIN``. Margins of few trigrams are uncertain, by about ``SPREAD`` over the
+root of their number, and a document is rejected only if its margin is below
+``MIN_MARGIN`` by more than that (or if it has no letters at all): it is not enough that
+a short text leaves the language open.
 
 The classifiers are fitted on a bounded sample of labelled rows, the
 ``SAMPLE_PER_LANGUAGE`` rows of each language with the smallest hash of the id
 (the documented bound); whole texts are read, in fitting and in
-prediction, and every row is predicted.
+prediction, and every row is predicted. The sample's features are held sparse, and
+made dense ``CHUNK`` rows at a time.
 
 Cases: null, empty or letterless text has language ``und``, margin 0, ambiguous
 and rejected; ties between codewords go to the first language by name; repeated
@@ -41,8 +44,9 @@ DIMENSIONS = 1 << 13
 SAMPLE_PER_LANGUAGE = 300
 RANDOM_BITS = 63
 EPOCHS, RATE, RIDGE = 150, 4.0, 1e-4
+CHUNK = 1024
 MIN_MARGIN = 0.05
-MIN_TRIGRAMS = 200
+SPREAD = 0.5
 UNKNOWN = "und"
 
 SCHEMA = "doc_id long, lang_pred string, bits string, loss double, margin double, ambiguous boolean, rejected boolean"
@@ -109,7 +113,7 @@ class Model:
         best, loss, apart = self.decode(margins)
         ambiguous = apart < MIN_MARGIN
         bits = "".join("1" if m > 0 else "0" for m in margins)
-        return self.languages[best], bits, round(loss, 6), round(apart, 6), ambiguous, ambiguous and n >= MIN_TRIGRAMS
+        return self.languages[best], bits, round(loss, 6), round(apart, 6), ambiguous, bool(apart + SPREAD / np.sqrt(n) < MIN_MARGIN)
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -118,22 +122,46 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((DIMENSIONS + 1, 1)), np.ones(1))
-    found = [(features(text), languages.index(lang)) for text, lang in rows]
-    found = [((x, n), y) for (x, n), y in found if n] or found[:1]
-    x = np.array([f[0] for f, _ in found])
-    x = np.hstack([x, np.ones((len(x), 1))])
-    target = code[[y for _, y in found]]
-    count = np.bincount([y for _, y in found], minlength=len(languages))
-    share = 1.0 / count[[y for _, y in found]]
-    share = (share / share.sum())[:, None]  # languages weigh alike
-    w = np.zeros((DIMENSIONS + 1, code.shape[1]))
+    held, labels = [], []
+    for text, lang in rows:
+        x, n = features(text)
+        if n:
+            at = np.flatnonzero(x)
+            held.append((at.astype(np.uint16), x[at].astype(np.float32)))
+            labels.append(languages.index(lang))
+    if not held:
+        return Model([], code, np.zeros((DIMENSIONS + 1, 1)), np.ones(1))
+    target = code[labels].astype(np.float32)
+    count = np.bincount(labels, minlength=len(languages))
+    share = 1.0 / count[labels]
+    share = (share / share.sum())[:, None].astype(np.float32)  # languages weigh alike
+
+    def dense(begin: int) -> np.ndarray:
+        part = held[begin : begin + CHUNK]
+        x = np.zeros((len(part), DIMENSIONS + 1), dtype=np.float32)
+        x[:, -1] = 1
+        for row, (at, value) in zip(x, part):
+            row[at] = value
+        return x
+
+    chunks = range(0, len(held), CHUNK)
+    few = {begin: dense(begin) for begin in list(chunks)[:8]}  # the rest are made anew each time
+    w = np.zeros((DIMENSIONS + 1, code.shape[1]), dtype=np.float32)
     speed = np.zeros_like(w)
     for _ in range(EPOCHS):
-        pull = target / (1 + np.exp(np.clip(target * (x @ w), -30, 30)))
-        speed = 0.9 * speed + RATE * (x.T @ (pull * share) - RIDGE * w)
+        slope = -RIDGE * w
+        for begin in chunks:
+            x, y = few.get(begin) if begin in few else dense(begin), target[begin : begin + CHUNK]
+            pull = y / (1 + np.exp(np.clip(y * (x @ w), -30, 30)))
+            slope += x.T @ (pull * share[begin : begin + CHUNK])
+        speed = 0.9 * speed + RATE * slope
         w += speed
-    right = np.clip(((x @ w > 0) == (target > 0)).mean(0), 0.51, 0.999)
-    return Model(languages, code, w, np.log(right / (1 - right)))
+    right = np.zeros(code.shape[1])
+    for begin in chunks:
+        x = few.get(begin) if begin in few else dense(begin)
+        right += ((x @ w > 0) == (target[begin : begin + CHUNK] > 0)).sum(axis=0)
+    right = np.clip(right / len(held), 0.51, 0.999)
+    return Model(languages, code, w.astype(np.float64), np.log(right / (1 - right)))
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:

@@ -10,8 +10,14 @@ finds the tightest room in logarithmic time, for a run of equal pieces at once,
 and bins that were filled alike are one range. Executors then number the pieces
 of each length and look up their run.
 
-Numbering within a length is done per residue of ``doc_id``, with offsets from
-the counts, so that no length is numbered by a single task.
+Pieces are ranged by (length, id, piece), so that a length that most pieces have is
+spread over as many tasks as it needs, and stored with their places; the rank within
+a length is the place, less where the length begins in the partition, plus what the
+partitions before hold of it. The driver and each task hold one row for every length
+and partition that meet.
+
+Sizes are words by default; ``size`` names a column of other sizes, such as the
+token counts of operator 9, and ``start_word`` and ``n_words`` then count those.
 
 Cases: null and empty texts and texts without words take no room: one row with
 ``n_words`` 0 and null bin; long texts are cut, never dropped; rows that repeat a
@@ -25,13 +31,12 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pick, table
+from ._common import checkpointed, pick, table
 
 CAPACITY = 2048
-RESIDUES = 64
 
 SCHEMA = "doc_id long, piece long, start_word long, n_words long, bin_id long, bin_offset long"
 
@@ -103,49 +108,47 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, size: str | None = None) -> DataFrame:
     """(doc_id, piece, start_word, n_words) of every document."""
-    n = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
-    counted = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
+    n = F.col(f"`{size}`") if size else F.regexp_count("text", F.lit(r"\S+"))
+    counted = pick(docs, "doc_id", *([size] if size else ["text"])).select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long").alias("n"))
     last = F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("long")
     cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     start = F.col("piece") * capacity
     return cut.select("doc_id", "piece", start.alias("start_word"), F.least(F.lit(capacity).cast("long"), F.col("n") - start).alias("n_words"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, size: str | None = None) -> DataFrame:
     """One row per piece: its document, words, bin and offset in the bin."""
-    cut = pieces(docs, capacity).withColumn("part", F.coalesce(F.pmod("doc_id", F.lit(RESIDUES)), F.lit(0)))
-    counts = cut.where("n_words > 0").groupBy("n_words", "part").count().collect()  # at most capacity x RESIDUES rows
-    histogram: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r["n_words"], r["part"])):
-        offset[r["n_words"], r["part"]] = histogram.get(r["n_words"], 0)
-        histogram[r["n_words"]] = histogram.get(r["n_words"], 0) + r["count"]
+    order = [F.col("n_words").asc(), F.col("doc_id").asc_nulls_first(), F.col("piece").asc()]
+    ranged = pieces(docs, capacity, size).repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = checkpointed(ranged.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    met = cut.where("n_words > 0").groupBy("n_words", "part").agg(F.count("*").alias("n"), F.min("row").alias("first")).orderBy("n_words", "part").toArrow()
+    length, part, n, first = (met[c].to_numpy().astype(np.int64) for c in ("n_words", "part", "n", "first"))
+    sums = np.bincount(length, n, capacity + 1).astype(np.int64)
+    histogram = {int(k): int(sums[k]) for k in np.flatnonzero(sums)}
+    before = np.cumsum(n) - n  # pieces of lesser lengths and earlier partitions; less those of lesser lengths:
+    offset = before - (np.cumsum(sums) - sums)[length]
     rows = plan(histogram, capacity)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    starts = np.zeros((capacity + 1, RESIDUES), dtype=np.int64)
-    for (length, part), n in offset.items():
-        starts[length, part] = n
-    shared = docs.sparkSession.sparkContext.broadcast((rows, starts))
+    shared = docs.sparkSession.sparkContext.broadcast((rows, (length << 32) + part, offset - first))
 
     def place(batches):
-        rows, starts = shared.value
+        rows, places, shift = shared.value
         key = (rows[:, 0] << 48) + rows[:, 1]
         for b in batches:
             length, part, rank = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5))
             some = length > 0
-            rank = rank - 1 + starts[length, part]
             bin_id, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             if some.any():
-                run = rows[np.searchsorted(key, (length[some] << 48) + rank[some], "right") - 1]
-                bin_id[some], within = run[:, 3] + (rank[some] - run[:, 1]) // run[:, 2], (rank[some] - run[:, 1]) % run[:, 2]
-                at[some] = run[:, 4] + within * length[some]
+                length, rank = length[some], rank[some] + shift[np.searchsorted(places, (length[some] << 32) + part[some])]
+                run = rows[np.searchsorted(key, (length << 48) + rank, "right") - 1]
+                bin_id[some], within = run[:, 3] + (rank - run[:, 1]) // run[:, 2], (rank - run[:, 1]) % run[:, 2]
+                at[some] = run[:, 4] + within * length
             out = [pa.array(x, pa.int64(), mask=~some) for x in (bin_id, at)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *out], names=["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_offset"])
 
-    rank = F.row_number().over(Window.partitionBy("n_words", "part").orderBy("doc_id", "piece"))
-    return cut.withColumn("rank", rank).select("doc_id", "piece", "start_word", "n_words", "part", "rank").mapInArrow(place, SCHEMA)
+    return cut.select("doc_id", "piece", "start_word", "n_words", "part", "row").mapInArrow(place, SCHEMA)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +164,7 @@ WITH RECURSIVE words AS (
 ), cut AS MATERIALIZED (
   SELECT doc_id, piece, piece * {CAPACITY} AS start_word, least({CAPACITY}, n - piece * {CAPACITY}) AS n_words FROM pieces
 ), ordered AS MATERIALIZED (
-  SELECT *, row_number() OVER (ORDER BY n_words DESC, coalesce(doc_id % {RESIDUES}, 0), doc_id NULLS FIRST, piece) AS i FROM cut WHERE n_words > 0
+  SELECT *, row_number() OVER (ORDER BY n_words DESC, doc_id NULLS FIRST, piece) AS i FROM cut WHERE n_words > 0
 ), packed(i, rooms, bin, room) AS (
   SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
   UNION ALL

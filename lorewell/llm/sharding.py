@@ -8,12 +8,12 @@ are cut by that greedy filling with the capacity found, so none is larger and
 none of them could be avoided at that capacity.
 
 Sizes (bytes of UTF-8) are summed per group, ranged by key and stored in blocks
-of ``BLOCK`` groups in the shared folder. The driver holds the blocks' totals, and
-the sizes within those blocks alone in which a cut can fall: the capacity lies
-between an even share and that plus the largest group, so the k-th cut lies
-within a few times k largest groups, however many groups there are. A cut that
-falls elsewhere fetches its block. Only the first keys of the shards go back to
-the executors.
+of ``BLOCK`` groups in the shared folder. The driver holds the totals of the
+partitions, those of the blocks within the partitions in which a cut can fall, and the
+sizes within the blocks in which one can: the capacity lies between an even share and
+that plus the largest group, so the k-th cut lies within a few times k largest
+groups, however many groups there are. A cut that falls elsewhere fetches its block.
+Only the first keys of the shards go back to the executors.
 
 Cases: null and empty texts have size 0 and belong to the shard before them;
 rows that repeat a key are one group; a null key is the first group; a group
@@ -41,42 +41,59 @@ SCHEMA = "doc_id long, n_bytes long, shard long"
 class Ends:
     """Prefix sums of all groups, of which only some blocks are at hand.
 
-    ``totals`` are the sums of the blocks; ``fetch`` returns (keys, sizes) of the
-    blocks of the given numbers.
+    ``totals`` are the sums of the partitions; ``opened`` returns the sums of the
+    blocks of partitions, by partition; ``fetch`` returns (keys, sizes) of blocks, by
+    (partition, block).
     """
 
-    def __init__(self, totals: np.ndarray, fetch):
+    def __init__(self, totals: np.ndarray, opened, fetch):
         self.ends = np.cumsum(totals)
         self.starts = self.ends - totals
         self.total = int(self.ends[-1]) if len(totals) else 0
-        self.fetch, self.held = fetch, {}
-
-    def load(self, numbers) -> None:
-        numbers = [int(n) for n in numbers if n not in self.held]
-        if numbers:
-            for n, (keys, sizes) in self.fetch(numbers).items():
-                self.held[n] = keys, self.starts[n] + np.cumsum(sizes)
-
-    def between(self, low: int, high: int) -> range:
-        """Blocks in which a prefix sum from ``low`` to ``high`` may end."""
-        last = max(0, len(self.ends) - 1)
-        return range(min(last, int(np.searchsorted(self.ends, low, "left"))), min(last, int(np.searchsorted(self.ends, high, "right"))) + 1)
+        self.opened, self.fetch, self.blocks, self.held = opened, fetch, {}, {}
+
+    def open(self, parts) -> None:
+        parts = [p for p in parts if p not in self.blocks]
+        if parts:
+            for p, sums in self.opened(parts).items():
+                self.blocks[p] = self.starts[p] + np.cumsum(sums)
+
+    def load(self, places) -> None:
+        places = [at for at in places if at not in self.held]
+        if places:
+            for (p, n), (keys, sizes) in self.fetch(places).items():
+                start = self.blocks[p][n - 1] if n else self.starts[p]
+                self.held[p, n] = keys, int(start), start + np.cumsum(sizes)
+
+    def near(self, ranges: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Blocks in which a prefix sum within one of the ranges may end."""
+        last = len(self.ends) - 1
+        if last < 0:
+            return set()
+        span = lambda ends, low, high: range(int(np.searchsorted(ends, low, "left")), int(np.searchsorted(ends, high, "right")) + 1)
+        parts = [(p, low, high) for low, high in ranges for p in span(self.ends, low, high) if p <= last]
+        self.open(sorted({p for p, _, _ in parts}))
+        return {(p, n) for p, low, high in parts for n in span(self.blocks[p], low, high) if n < len(self.blocks[p])}
+
+    def block(self, most: int) -> tuple[int, int]:
+        """The block with the first group whose prefix sum is above ``most``, which is below the total."""
+        p = int(np.searchsorted(self.ends, most, "right"))
+        self.open([p])
+        at = p, int(np.searchsorted(self.blocks[p], most, "right"))
+        self.load([at])
+        return at
 
     def upto(self, most: int) -> int:
         """The largest prefix sum of at most ``most``."""
-        block = int(np.searchsorted(self.ends, most, "right"))
-        if block == len(self.ends):
+        if most >= self.total:
             return self.total
-        self.load([block])
-        ends = self.held[block][1]
+        _, start, ends = self.held[self.block(most)]
         at = int(np.searchsorted(ends, most, "right"))
-        return int(ends[at - 1]) if at else int(self.starts[block])
+        return int(ends[at - 1]) if at else start
 
     def key_after(self, cut: int):
         """The first key whose prefix sum is above ``cut``, which is below the total."""
-        block = int(np.searchsorted(self.ends, cut, "right"))
-        self.load([block])
-        keys, ends = self.held[block]
+        keys, _, ends = self.held[self.block(cut)]
         return keys[int(np.searchsorted(ends, cut, "right"))]
 
 
@@ -101,7 +118,8 @@ def smallest_capacity(ends: Ends, largest: int, shards: int) -> int:
     even = -(-ends.total // shards)
     low, high = max(largest, even), even + largest
     # A greedy shard below the last holds more than capacity - largest, at most capacity.
-    ends.load({n for k in range(1, shards + 1) for n in ends.between(k * (low - largest), min(ends.total, k * high))} if low > 2 * largest else ())
+    if low > 2 * largest:
+        ends.load(sorted(ends.near([(k * (low - largest), min(ends.total, k * high)) for k in range(1, shards + 1)])))
     while low < high:
         middle = (low + high) // 2
         if cuts(ends, middle, shards) is None:
@@ -145,16 +163,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: Column | None = None) -> D
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     keyed = rows.select("doc_id", "n_bytes", key.cast("long").alias("key"))
     blocks = stored(keyed.groupBy("key").agg(F.sum("n_bytes").alias("n")))
-    index = blocks.select("part", "seq", "total", "largest").orderBy("part", "seq").collect()  # a row per BLOCK groups
-    number = {(r["part"], r["seq"]): i for i, r in enumerate(index)}
-
-    def fetch(numbers: list[int]) -> dict:
-        wanted = docs.sparkSession.createDataFrame([(index[n]["part"], index[n]["seq"]) for n in numbers], "part long, seq long")
+    parts = blocks.groupBy("part").agg(F.sum("total").alias("total"), F.max("largest").alias("largest")).orderBy("part").collect()  # a row a partition
+    number = {r["part"]: i for i, r in enumerate(parts)}
+
+    def opened(wanted: list[int]) -> dict:
+        found = blocks.where(F.col("part").isin([parts[p]["part"] for p in wanted])).select("part", "seq", "total").orderBy("part", "seq").collect()
+        out: dict[int, list[int]] = {p: [] for p in wanted}
+        for r in found:
+            out[number[r["part"]]].append(r["total"])
+        return {p: np.array(x, dtype=np.int64) for p, x in out.items()}
+
+    def fetch(places: list[tuple[int, int]]) -> dict:
+        wanted = docs.sparkSession.createDataFrame([(parts[p]["part"], n) for p, n in places], "part long, seq long")
         found = blocks.join(F.broadcast(wanted), ["part", "seq"], "left_semi").select("part", "seq", "keys", "sizes").collect()
-        return {number[r["part"], r["seq"]]: (r["keys"], np.array(r["sizes"], dtype=np.int64)) for r in found}
+        return {(number[r["part"]], r["seq"]): (r["keys"], np.array(r["sizes"], dtype=np.int64)) for r in found}
 
-    ends = Ends(np.array([r["total"] for r in index], dtype=np.int64), fetch)
-    found = cuts(ends, smallest_capacity(ends, max((r["largest"] for r in index), default=0), shards), shards) or []
+    ends = Ends(np.array([r["total"] for r in parts], dtype=np.int64), opened, fetch)
+    found = cuts(ends, smallest_capacity(ends, max((r["largest"] for r in parts), default=0), shards), shards) or []
     bounds = np.array([ends.key_after(c) for c in found if c < ends.total], dtype=np.int64)  # first key of every shard but the first
 
     def assign(batches):

@@ -1,7 +1,7 @@
 """Operator 4: near-duplicate documents by SimHash, searched with BK-trees.
 
-Signature: 128 bits over the distinct words of the lower-cased text, each
-weighing 1 + ln(count). Two documents are near-duplicates if at most ``RADIUS``
+Signature: 128 bits over the distinct words of the lower-cased text (pairs of
+characters where a script has no spaces), each weighing 1 + ln(count). Two documents are near-duplicates if at most ``RADIUS``
 = 17 bits differ; groups are the connected components of that relation, and the
 document with the smallest id of each group stays.
 
@@ -9,7 +9,7 @@ Search is by shards. A shard key is ``bits`` of the 128 bits, chosen by a fixed
 permutation for each of ``tables`` keys; signatures with an equal key form a
 shard. ``bits`` follows the count of signatures so that shards stay small, and
 ``tables`` follows ``bits`` so that a pair at the radius, the worst case, meets in
-some shard with probability ``RECALL`` = 0.95 (nearer pairs more surely). The
+some shard with probability ``RECALL`` = 0.999 (nearer pairs more surely). The
 signatures of a shard form a BK-tree (children keyed by the integer Hamming
 distance to their parent), and each signature of the shard follows only edges
 within the radius of its distance.
@@ -42,19 +42,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, pick, table, texts
+from ._common import checkpointed, free, pick, table, texts
 from ._components import components
 
 RADIUS = 17
 BITS = 128
-RECALL = 0.95
+RECALL = 0.999
 SHARD = 32  # signatures in a shard, on average at most
-WORDS = re.compile(r"[^\W_]+")
+#: Runs of letters and digits; of scripts without spaces every two neighbours.
+PLAIN = re.compile(r"[^\W_]+")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 FRONTIER = 1 << 21
 PART_BYTES = 8 << 20
 ENTRY = np.dtype([("key", np.uint32), ("id", np.int64), ("hi", np.uint64), ("lo", np.uint64)])
 
 
+def words(text: str) -> list[str]:
+    """The words of a lower-case text. Where a script has no spaces, pairs of neighbouring characters stand for words."""
+    found = PLAIN.findall(text)
+    if text.isascii() or not UNSPACED.search(text):
+        return found
+    out = []
+    for w in found:
+        out += [p for p in UNSPACED.split(w) if p]
+        for m in UNSPACED.findall(w):
+            out += [m[i : i + 2] for i in range(max(1, len(m) - 1))]
+    return out
+
+
 class _Planes(dict):
     """word -> its 128 signs, for the words of one batch."""
 
@@ -68,7 +83,7 @@ def signatures(batch: list[str]) -> list[tuple[int, int] | None]:
     planes = _Planes()
     counted = []
     for text in batch:
-        count = Counter(WORDS.findall(text.lower()))
+        count = Counter(words(text.lower()))
         counted.append((np.fromiter((planes[w] for w in count), np.int64, len(count)), np.fromiter(count.values(), np.float32, len(count))))
     digests = b"".join(xxhash.xxh3_128_digest(w.encode("utf-8", "replace")) for w in planes)
     signs = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).astype(np.float32)
@@ -312,8 +327,9 @@ def groups(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 def keep_first(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """The rows of ``docs`` without those that a group's first document stands for, with all their columns."""
-    gone = decisions(docs, shard).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("`doc_id`") == F.col("__gone"), "left_anti")
+    (own,) = free(docs, "gone")
+    gone = decisions(docs, shard).where("not kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone.hint("shuffle_hash"), F.col("`doc_id`") == F.col(own), "left_anti")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Operators 9 and 10: token counts with a digest cache; byte-level BPE.
 
 **Byte-level BPE (10).** The tiktoken library with a local rank file. A text of
-more than ``CHUNK`` characters is cut at safe boundaries before it is encoded:
-just before a space that stands between two characters that aren't white space,
-where the splitting pattern starts a new word whatever surrounds it, so the
-tokens are those of the whole text. Decoding joins the raw bytes of the tokens
+more than ``CHUNK`` characters is cut at safe boundaries before it is encoded: before
+white space that follows anything else, between a letter and a digit, and between a
+letter or digit and a sign that follows it. There the splitting pattern starts anew
+whatever surrounds it, so the tokens are those of the whole text. The rank file is
+sent along with the job. Decoding joins the raw bytes of the tokens
 before it reads them as UTF-8, so tokens that end inside a character are safe.
 
-Cases (10): null text gives null tokens; empty text gives none; a text without a
-safe boundary is encoded in one piece; special-token strings are ordinary text;
+Cases (10): null text gives null tokens; empty text gives none; a run of one
+kind of character without a safe boundary is encoded in one piece; special-token strings are ordinary text;
 repeated rows get equal results; a null ``doc_id`` is carried; an empty table
 gives an empty result; extra columns are ignored; lone surrogates can't occur in
 Spark strings.
@@ -46,15 +47,32 @@ from ._common import pick, shared_dir, table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 1 << 15
-SAFE = regex.compile(r"(?<=\S)(?= \S)")
+SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])")
 
 COUNTED = "doc_id long, n_tokens long"
 ENCODED = "doc_id long, token_ids array<int>, n_tokens long, round_trip boolean"
 
 
+def shipped(spark: SparkSession, ranks: str) -> None:
+    """Sends the rank file to the executors, once a session."""
+    import os
+
+    if os.path.basename(ranks) not in {os.path.basename(x) for x in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(ranks)
+
+
+def _local(ranks: str) -> str:
+    """Where this machine has the file: at its path, or where the job put it."""
+    import os
+
+    from pyspark import SparkFiles
+
+    return ranks if os.path.exists(ranks) else SparkFiles.get(os.path.basename(ranks))
+
+
 @lru_cache(maxsize=4)
 def encoding(ranks: str = RANKS) -> tiktoken.Encoding:
-    with open(ranks, "rb") as f:
+    with open(_local(ranks), "rb") as f:
         found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
 
@@ -91,6 +109,7 @@ def decode(tokens: list[int], ranks: str = RANKS) -> str:
 
 def encode_documents(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """Token ids of each row, with the outcome of decoding them again."""
+    shipped(docs.sparkSession, ranks)
 
     def run(batches):
         bpe = encoding(ranks)
@@ -110,6 +129,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids)."""
+    shipped(encoded.sparkSession, ranks)
 
     def run(batches):
         for b in batches:
@@ -135,12 +155,13 @@ def cached(spark: SparkSession, folder: str) -> DataFrame:
 def count_tokens(docs: DataFrame, cache_dir: str, ranks: str = RANKS) -> DataFrame:
     """One row per row of ``docs``: its token count, from the cache in ``cache_dir`` or added to it."""
     spark = docs.sparkSession
+    shipped(spark, ranks)
     folder = f"{cache_dir}/{version(ranks)}"
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce(content(F.col("text")), F.lit("")).alias("content"))
     keyed = rows.select("doc_id", "content", F.unhex(F.md5("content")).alias("digest"))
 
     def own(batches, packed=False):
-        """Each content of this task once, compressed for the exchange."""
+        """Each content of this task once, compressed for the exchange; a task remembers the digests of its own split of the files."""
         seen: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
@@ -162,16 +183,15 @@ def count_tokens(docs: DataFrame, cache_dir: str, ranks: str = RANKS) -> DataFra
 
     # The one exchange of texts serves both the join with the cache and the choice of one text per digest.
     met = keyed.where("content <> ''").select("digest", "content").mapInArrow(own, "digest binary, content binary").repartition("digest")
-    misses = met.join(cached(spark, folder).select("digest").hint("shuffle_hash"), "digest", "left_anti")
+    misses = met.join(cached(spark, folder).select("digest").hint("merge"), "digest", "left_anti")  # the cache only grows: sorted, it can spill
     misses.mapInArrow(encoded, "digest binary, n_tokens long").write.mode("append").parquet(folder)
     known = cached(spark, folder)
     return keyed.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache belongs to the table: another place of the data has its own."""
-    place = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    return count_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token_counts/{place}")
+    """One cache of contents serves all tables."""
+    return count_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token_counts")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

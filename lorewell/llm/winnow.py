@@ -1,16 +1,13 @@
 r"""Operator 5: document fingerprints by winnowing.
 
 Letters and digits of the text, lower-cased, form the string that is
-fingerprinted; every k-gram of ``K`` = 40 of them has a polynomial hash of its
-code points modulo 2**64, of which the upper 48 bits count. Of every ``WINDOW`` =
-61 consecutive hashes the least is chosen, the rightmost among equals, and kept
-with its position once, however many windows choose it. Two texts that share
-``K + WINDOW - 1`` = 100 consecutive letters or digits therefore share a
-fingerprint at the same place of the shared part. ``pos`` is the offset of the
-k-gram in the original text, in characters.
-
-The SQL of ``op5_winnowing`` fixes these constants. ``winnowing_short`` takes 25 and
-26 instead, and so catches passages from 50 letters or digits on.
+fingerprinted; every k-gram of ``K`` = 25 of them has a polynomial hash of its
+code points modulo 2**64. Of every ``WINDOW`` = 26 consecutive hashes the least
+(unsigned) is chosen, the rightmost among equals, and kept with its position once,
+however many windows choose it. Two texts that share ``K + WINDOW - 1`` = 50
+consecutive letters or digits therefore share a fingerprint at the same place of the
+shared part: so do a document and the shortest benchmark text in it. ``pos`` is the
+offset of the k-gram in the original text, in characters.
 
 Hashes come from wrap-around prefix sums and window minima from doubling steps,
 both over whole arrays; a text is worked through in blocks that overlap by a
@@ -24,37 +21,22 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import code_points, pick, table, texts
+from ._common import characters, code_points, pick, table, texts
 
-K = 40
-WINDOW = 61
-SHORT_K, SHORT_WINDOW = 25, 26
+K = 25
+WINDOW = 26
 BASE = 0x9E3779B97F4A7C15
 BLOCK = 1 << 16
 
 SCHEMA = "doc_id long, pos long, fingerprint long"
 
 
-@lru_cache(maxsize=1)
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    n = 0x110000
-    lower, word = np.arange(n, dtype=np.uint32), np.zeros(n, dtype=bool)
-    for i in range(n):
-        c = chr(i)
-        if unicodedata.category(c)[0] in "LN":
-            word[i] = True
-            if len(low := c.lower()) == 1:
-                lower[i] = ord(low)
-    return lower, word
-
-
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64."""
@@ -65,32 +47,32 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(letters: np.ndarray, k: int = K) -> np.ndarray:
-    """48-bit hash of every k-gram: sum of letter[i+t] * BASE**t modulo 2**64, upper bits."""
+    """Hash of every k-gram: sum of letter[i+t] * BASE**t modulo 2**64."""
     ups, downs = _powers()
     n = len(letters) - k + 1
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters.astype(np.uint64) * ups[: len(letters)], dtype=np.uint64)))
-    return (sums[k:] - sums[:n]) * downs[:n] >> np.uint64(16)
+    return (sums[k:] - sums[:n]) * downs[:n]
 
 
 def chosen(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Indices that some window chooses, in order; at most ``BLOCK`` hashes."""
+    """Indices that some window chooses, in order."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
-    low = hashes << np.uint64(16) | np.uint64(BLOCK - 1) - np.arange(n, dtype=np.uint64)  # ties: the rightmost is least
+    low, at = hashes, np.arange(n)
     window = min(window, n)
     done = 1
     while done < window:
         step = min(done, window - done)
-        low = np.minimum(low[:-step], low[step:])
+        right = low[step:] <= low[:-step]  # ties: the rightmost
+        low, at = np.where(right, low[step:], low[:-step]), np.where(right, at[step:], at[:-step])
         done += step
-    at = (BLOCK - 1) - (low & np.uint64(BLOCK - 1)).astype(np.int64)
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 def fingerprints(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, fingerprints) of a text; ``k`` is at most ``K``."""
-    lower, word = _characters()
+    lower, word, _ = characters()
     codes = code_points(text)
     where = np.flatnonzero(word[codes])
     if len(where) < k:
@@ -106,7 +88,7 @@ def fingerprints(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarra
             index = index[1:]
         at.append(begin + index)
         got.append(h[index])
-    return where[np.concatenate(at)], np.concatenate(got).astype(np.int64)
+    return where[np.concatenate(at)], np.concatenate(got).view(np.int64)
 
 
 def winnow(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -128,14 +110,9 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(table(spark, sf_dir, "documents"))
 
 
-def winnowing_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints that passages of 50 letters or digits share."""
-    return winnow(table(spark, sf_dir, "documents"), SHORT_K, SHORT_WINDOW)
-
-
 ORACLE = r"""
 WITH RECURSIVE powers(t, p) AS (
-  SELECT 0, 1::UHUGEINT UNION ALL SELECT t + 1, p * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT FROM powers WHERE t < 39
+  SELECT 0, 1::UHUGEINT UNION ALL SELECT t + 1, p * 11400714819323198485::UHUGEINT % 18446744073709551616::UHUGEINT FROM powers WHERE t < 24
 ), coef AS (SELECT list(p ORDER BY t) AS c FROM powers),
 chars AS (
   SELECT doc_id, unnest(range(length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''
@@ -144,18 +121,18 @@ chars AS (
     row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i
   FROM chars WHERE regexp_full_match(ch, '[\p{L}\p{N}]')
 ), grams AS (
-  SELECT doc_id, pos, i, list(code) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING) AS g FROM letters
+  SELECT doc_id, pos, i, list(code) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS g FROM letters
 ), hashed AS (
-  SELECT doc_id, pos, i, ((list_reduce(list_transform(list_zip(g, c), lambda x: x[1]::UHUGEINT * x[2]), lambda a, b: a + b) % 18446744073709551616::UHUGEINT) // 65536)::BIGINT AS h
-  FROM grams, coef WHERE len(g) = 40
+  SELECT doc_id, pos, i, (list_reduce(list_transform(list_zip(g, c), lambda x: x[1]::UHUGEINT * x[2]), lambda a, b: a + b) % 18446744073709551616::UHUGEINT)::UBIGINT AS h
+  FROM grams, coef WHERE len(g) = 25
 ), counted AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM hashed),
 least AS (
-  SELECT doc_id, i, last, min({'h': h, 'r': -i}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING) AS m FROM counted
+  SELECT doc_id, i, last, min({'h': h, 'r': -i}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 25 FOLLOWING) AS m FROM counted
 ), picked AS (
-  SELECT DISTINCT doc_id, -m.r AS i FROM least WHERE i + 60 <= last OR (i = 0 AND last < 60)
+  SELECT DISTINCT doc_id, -m.r AS i FROM least WHERE i + 25 <= last OR (i = 0 AND last < 25)
 )
-SELECT doc_id, pos, h AS fingerprint FROM picked JOIN hashed USING (doc_id, i)
+SELECT doc_id, pos, CASE WHEN h < 9223372036854775808::UBIGINT THEN h::BIGINT ELSE (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT END AS fingerprint FROM picked JOIN hashed USING (doc_id, i)
 """
 
-QUERIES = {"op5_winnowing": op5_winnowing, "winnowing_short": winnowing_short}
+QUERIES = {"op5_winnowing": op5_winnowing}
 ORACLES = {"op5_winnowing": ORACLE}

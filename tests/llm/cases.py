@@ -32,7 +32,7 @@ def docs(spark, rows=ROWS):
 
 def clashing(df):
     """Extra columns named like what operators use inside."""
-    for name in ("hi", "lo", "key", "rank", "part", "pos", "h", "starts", "units", "__extra", "n_words", "digest", "content", "score", "toxic", "Bin_id"):
+    for name in ("hi", "lo", "key", "rank", "part", "pos", "h", "starts", "units", "__extra", "n_words", "digest", "content", "score", "toxic", "Bin_id", "__id", "__rest", "__starts", "__gone", "own_id", "gone", "found", "row", "language", "copies"):
         df = df.withColumn(name, F.lit(name))
     return df
 

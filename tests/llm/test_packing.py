@@ -57,8 +57,7 @@ def brute(rows, capacity):
         n = len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))
         for piece in range(-(-n // capacity)):
             items.append((min(capacity, n - piece * capacity), (d, piece)))
-    residue = lambda d: 0 if d is None else d % P.RESIDUES
-    items.sort(key=lambda x: (-x[0], residue(x[1][0]), x[1][0] is not None, x[1][0] or 0, x[1][1]))
+    items.sort(key=lambda x: (-x[0], x[1][0] is not None, x[1][0] or 0, x[1][1]))
     return best_fit(items, capacity)
 
 
@@ -88,3 +87,24 @@ def test_cases(spark):
     assert words == len(cases.LONG.split())
     assert sum(r["doc_id"] == 5 for r in out) == 2
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_one_length_is_spread(spark):
+    """A length that all pieces have is numbered by many tasks, whatever their ids have in common."""
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = cases.docs(spark, [(64 * d, "a b c", None, None, 5) for d in range(4000)])
+        out = P.pack(df, 7)
+        assert out.rdd.glom().map(len).collect().count(0) <= 1
+        assert sorted((r["bin_id"], r["bin_offset"]) for r in out.collect()) == [(d // 2, 3 * (d % 2)) for d in range(4000)]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def test_sizes_of_a_column(spark):
+    df = spark.createDataFrame([(1, 5), (2, 9), (3, None), (4, -2), (5, 25)], "doc_id long, n_tokens int")
+    out = sorted((r["doc_id"], r["start_word"], r["n_words"], r["bin_id"], r["bin_offset"]) for r in P.pack(df, 10, "n_tokens").collect() if r["n_words"])
+    assert out == [(1, 0, 5, 3, 0), (2, 0, 9, 2, 0), (5, 0, 10, 0, 0), (5, 10, 10, 1, 0), (5, 20, 5, 3, 5)]

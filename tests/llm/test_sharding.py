@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lorewell.llm import sharding as S
 
@@ -17,14 +18,19 @@ def minimax(sizes, shards):
     return best[n]
 
 
-def blocks(sizes, n, asked):
+def blocks(sizes, n, asked, per_part=3):
     cut = [sizes[i : i + n] for i in range(0, len(sizes), n)]
+    parts = [cut[i : i + per_part] for i in range(0, len(cut), per_part)]
 
-    def fetch(numbers):
-        asked.update(numbers)
-        return {i: (list(range(i * n, i * n + len(cut[i]))), np.array(cut[i], dtype=np.int64)) for i in numbers}
+    def opened(wanted):
+        return {p: np.array([sum(c) for c in parts[p]], dtype=np.int64) for p in wanted}
 
-    return S.Ends(np.array([sum(c) for c in cut], dtype=np.int64), fetch)
+    def fetch(places):
+        asked.update(places)
+        first = lambda p, i: (p * per_part + i) * n
+        return {(p, i): (list(range(first(p, i), first(p, i) + len(parts[p][i]))), np.array(parts[p][i], dtype=np.int64)) for p, i in places}
+
+    return S.Ends(np.array([sum(map(sum, part)) for part in parts], dtype=np.int64), opened, fetch)
 
 
 def test_smallest_capacity():
@@ -76,6 +82,14 @@ def test_documents(spark, data):
     check(out, 7, out)
 
 
+def test_atomic_groups(spark, data):
+    """Whole sources stay together: the key is the number of the source."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("doc_id", F.regexp_extract("source", r"(\d+)", 1).cast("long"))
+    out = cases.collected(S.shard(docs, 6))
+    check(out, 6, out)
+    assert all(len({r["shard"] for r in out if r["doc_id"] == k}) == 1 for k in {r["doc_id"] for r in out})
+
+
 def test_cases(spark):
     df = cases.clashing(cases.docs(spark))
     for shards in (1, 3, 50):
