@@ -140,6 +140,12 @@ def selected(decisions: DataFrame, registry: DataFrame, fallback: str | None = N
     return out.select("decision_id", F.coalesce(F.when(F.col("known"), F.col("selected")), "best", "fallback", "first", F.lit("")).alias("agent_id"))
 
 
+def repeated_candidates(decisions: DataFrame) -> DataFrame:
+    """(decision_id, agent_id) of candidates that a decision names more than once."""
+    each = decisions.select("decision_id", F.explode("candidates.agent_id").alias("agent_id"))
+    return each.groupBy("decision_id", "agent_id").count().where("count > 1").select("decision_id", "agent_id")
+
+
 def profile_lists(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, T.listed(F.col(column)))
 

@@ -110,14 +110,15 @@ class Index:
     n: int
     avg_len: float
     headed: bool = True  # whether any block can have a heading
+    ids: DataFrame | None = None  # (term, term_id), where ties go by the first term met
 
     @property
     def spark(self) -> SparkSession:
         return self.blocks.sparkSession
 
 
-def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist: bool = False, strict: bool = False) -> Index:
-    """Index of ``docs``, whose columns are checked; with ``strict`` a blank text fails the job, else it is an empty block."""
+def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist: bool = False, strict: bool = False, ordered: bool = False) -> Index:
+    """Index of ``docs``, whose columns are checked; with ``strict`` a blank text fails the job, else it is an empty block. With ``ordered`` terms are numbered and decide ties."""
     b = blocks(validated(docs) if strict else checked_columns(docs), markdown, tokenizer)
     if persist:
         b = b.persist()
@@ -127,7 +128,7 @@ def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist
         p = p.persist()
         terms = lexicon(p).persist()
     row = b.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns)
+    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None)
 
 
 def save(index: Index, path: str, buckets: int = 64) -> None:

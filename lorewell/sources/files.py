@@ -39,6 +39,32 @@ def collected(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, [walk(spark, s["path"], s["name"]) for s in sources])
 
 
+def init_project(folder: str, name: str = "docs") -> str:
+    """A new project: its configuration, one source folder and a first document. Nothing that exists is overwritten."""
+    os.makedirs(f"{folder}/{name}", exist_ok=True)
+    for path, text in ((f"{folder}/knowledge.json", json.dumps({"sources": [{"name": name, "path": name}], "output": {"path": "dist/knowledge"}}, indent=2) + "\n"), (f"{folder}/{name}/welcome.md", "# Welcome\nPut documents here.\n")):
+        if not os.path.exists(path):
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+    return f"{folder}/knowledge.json"
+
+
+def add_source(config_path: str, name: str, path: str) -> None:
+    """Another source of a project; its name must be new."""
+    found = config(config_path)
+    found["sources"].append({"name": name, "path": path})
+    text = json.dumps(found, indent=2) + "\n"
+    if len({s["name"] for s in found["sources"]}) != len(found["sources"]):
+        raise SourceError(f"there is a source named {name} already")
+    with open(config_path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def default_label(path: str) -> str:
+    """The file's name without its extension."""
+    return os.path.splitext(os.path.basename(path.rstrip("/")))[0] or "knowledge"
+
+
 def build_project(spark: SparkSession, config_path: str, strict: bool = True) -> dict:
     """Builds what a configuration names: its sources as one stored index at ``output.path``, blocks in the order of the files' paths.
 
