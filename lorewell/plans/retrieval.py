@@ -13,6 +13,7 @@ from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import retrieve as R
 from ..options import Expansion, Options
+from ..shared import checkpointed
 from . import sql
 
 BATCH = [(1, "the of and"), (2, "onen tion reing"), (3, "der und die"), (4, "que los ter"), (5, "idiot worthless the")]
@@ -43,7 +44,7 @@ def _index(spark: SparkSession, sf_dir: str, application: str) -> I.Index:
 def scores(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
     """Plain BM25 sums of all matching blocks."""
     ix = index(spark, sf_dir)
-    found = R.matches(ix, R.weighted_terms(R.parsed(queries, Options())))
+    found = R.matches(ix, R.weighted_terms(checkpointed(R.parsed(queries, Options()))))
     return found.groupBy("query_id", "block_id").agg(F.sum("part").alias("score"))
 
 
@@ -208,7 +209,7 @@ def _lexical_sql(rows: list[tuple[int, str]], where: str = "true", floor: float
         tail = f"""r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, block_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM first),
     seen AS (SELECT query_id, post.term, sum(tf * greatest(score / greatest(best, 1e-6), 0.2::DOUBLE)) AS w, min({{'r': rank, 'p': pos}}) AS f
       FROM r JOIN post USING (block_id) WHERE rank <= 3 AND length(post.term) >= 3 AND NOT EXISTS (SELECT 1 FROM qt WHERE qt.query_id = r.query_id AND qt.term = post.term) GROUP BY query_id, post.term),
-    ex AS (SELECT query_id, term, 0.35::DOUBLE * greatest(0.5::DOUBLE, least(1.5::DOUBLE, w)) AS weight FROM seen QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, f) <= 4),
+    ex AS (SELECT query_id, term, 0.35::DOUBLE * greatest(0.5::DOUBLE, least(1.5::DOUBLE, w)) AS weight FROM seen QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, f) <= 4),
     more AS (SELECT query_id, block_id, sum({sql.part('(tf * weight)')}) AS m FROM ex JOIN post USING (term) JOIN lex USING (term) JOIN tok USING (block_id), st GROUP BY query_id, block_id),
     scored AS (SELECT query_id, block_id, (s + coalesce(m, 0)) * boost * (1 + 0.15::DOUBLE / (1 + span)) AS score, span, 0 AS late FROM first LEFT JOIN more USING (query_id, block_id)
       UNION ALL SELECT query_id, block_id, m, NULL, 1 FROM more JOIN ok USING (query_id, block_id) WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = more.query_id AND f.block_id = more.block_id))"""
@@ -259,7 +260,7 @@ ORACLES = {
 }
 _KNS = f"(1 - ({_CIRC.format('s1', 257)} + {_CIRC.format('s2', 263)} + {_CIRC.format('s3', 269)}) / 3)"
 #: The pool of fifty after the signature's boost, best first.
-POOLED = f"""boosted AS MATERIALIZED (SELECT query_id, block_id, text, row_number() OVER (PARTITION BY query_id ORDER BY ks DESC, rank) AS n, ks FROM (
+POOLED = f"""boosted AS MATERIALIZED (SELECT query_id, block_id, text, row_number() OVER (PARTITION BY query_id ORDER BY round(ks, 9) DESC, rank) AS n, ks FROM (
     SELECT query_id, block_id, text, rank, score * (1 + 0.02::DOUBLE * {_KNS}) AS ks FROM (
       SELECT r.query_id, r.block_id, r.rank, r.score, text, {_SIG.format(_CODES.format(sql.normal('q')))} AS a, {_SIG.format(_CODES.format('text'))} AS b FROM ranks r JOIN qs USING (query_id) JOIN tok USING (block_id) WHERE rank <= 50)))"""
 ORACLES["mmr_topk"] = _lexical_sql(
@@ -272,7 +273,7 @@ ORACLES["mmr_topk"] = _lexical_sql(
     steps(query_id, k, kept) AS (
       SELECT DISTINCT query_id, 0, []::BIGINT[] FROM pool
       UNION ALL
-      SELECT query_id, k + 1, list_append(kept, arg_max(n, {{'v': 0.8::DOUBLE * ks - 0.2::DOUBLE * w, 'n': -n}})) FROM (
+      SELECT query_id, k + 1, list_append(kept, arg_max(n, {{'v': round(0.8::DOUBLE * ks - 0.2::DOUBLE * w, 9), 'n': -n}})) FROM (
         SELECT st.query_id, st.k, st.kept, p.n, p.ks, coalesce(max(s) FILTER (list_contains(st.kept, sim.y)), 0) AS w
         FROM steps st JOIN pool p USING (query_id) LEFT JOIN sim ON sim.query_id = p.query_id AND sim.x = p.n WHERE st.k < 10 AND NOT list_contains(st.kept, p.n) GROUP BY ALL) WHERE w < 0.92 GROUP BY query_id, k, kept)
     SELECT query_id, rank, block_id, round(ks, 6) AS score FROM (SELECT query_id, unnest(kept) AS n, unnest(range(1, len(kept) + 1)) AS rank FROM steps QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1) JOIN pool USING (query_id, n)""",

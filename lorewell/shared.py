@@ -51,3 +51,12 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> D
         total += r["n"]
     where = df.sparkSession.createDataFrame(rows or [(0, 0, 0)], f"`{part}` int, `{base}` long, `{offset}` long")
     return stored.join(F.broadcast(where), part).withColumn(name, F.col(row) - F.col(base) + F.col(offset)).drop(part, row, base, offset)
+
+
+#: Rows of a side that is broadcast; beyond, the join exchanges both.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if ``rows``, which the caller has counted or bounded, are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

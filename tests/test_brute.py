@@ -73,7 +73,7 @@ class Plain:
                     if len(t) >= 3 and t not in terms:
                         w, first = weights.get(t, (0.0, (rank, pos)))
                         weights[t] = (w + max(score[b] / best, 0.2), min(first, (rank, pos)))
-            extra = {t: 0.35 * max(0.5, min(1.5, w)) for t, (w, _) in sorted(weights.items(), key=lambda x: (-x[1][0], x[1][1]))[:4]}
+            extra = {t: 0.35 * max(0.5, min(1.5, w)) for t, (w, _) in sorted(weights.items(), key=lambda x: (-round(x[1][0], 9), x[1][1]))[:4]}
             for b, ts in self.tokens.items():
                 more = sum(self.part(b, t, w) for t, w in extra.items() if t in ts)
                 if b in base:
@@ -90,11 +90,12 @@ class Plain:
         for rank, (b, s) in enumerate(hits):
             far = sum(min(abs(x - y), p - abs(x - y)) / p for x, y, p in zip(own, signature(self.texts[b]), (257, 263, 269))) / 3
             pool.append((-s * (1 + 0.02 * (1 - far)), rank, b))
-        left, kept = sorted(pool), []
+        pool.sort(key=lambda x: (round(x[0], 9), x[1]))
+        left, kept = pool, []
         sim = lambda a, b: len(grams(normal(self.texts[a])) & grams(normal(self.texts[b]))) / len(grams(normal(self.texts[a])) | grams(normal(self.texts[b])))
         while left and len(kept) < k:
             worst = {b: max((sim(b, x) for _, x in kept), default=0.0) for _, _, b in left}
-            open_ = [(0.8 * s + 0.2 * worst[b], i, b, -s) for i, (s, _, b) in enumerate(left) if worst[b] < 0.92]
+            open_ = [(round(0.8 * s + 0.2 * worst[b], 9), i, b, -s) for i, (s, _, b) in enumerate(left) if worst[b] < 0.92]
             if not open_:
                 break
             _, _, b, s = min(open_)
@@ -110,7 +111,7 @@ class Plain:
         raw = [quantized(query) and dot(quantized(query), quantized(vectors[b])) if b in vectors else 0.0 for b, _ in head]
         scaled = lambda x: [1.0 if max(x) <= min(x) else (v - min(x)) / (max(x) - min(x)) for v in x]
         mixed = [0.75 * a + 0.25 * b for a, b in zip(scaled([s for _, s in head]), scaled(raw))]
-        return [(b, s) for s, b in sorted(((s, b) for s, (b, _) in zip(mixed, head)), key=lambda x: (-x[0], x[1]))] + tail
+        return [(b, s) for s, b in sorted(((s, b) for s, (b, _) in zip(mixed, head)), key=lambda x: (-round(x[0], 9), x[1]))] + tail
 
 
 def quantized(v):
