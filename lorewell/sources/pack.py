@@ -182,7 +182,7 @@ def from_index(index, graph: tuple[DataFrame, DataFrame] | None = None, vectors:
     meta = {"version": 3, "stats": {"docs": len(blocks), "blocks": len(blocks), "terms": len(lexicon), "avgBlockLen": index.avg_len}}
     body = None
     if graph:
-        nodes = [{"id": r["id"], "label": r["label"]} for r in graph[0].orderBy("id").toLocalIterator()]
+        nodes = [{"id": r["id"], "label": r["label"]} for r in graph[0].orderBy("id", "label").toLocalIterator()]
         edges = [{"id": r["id"], "from": r["src"], "p": r["p"], "to": r["dst"], "evidence": r["evidence"]} for r in graph[1].orderBy("id").toLocalIterator()]
         body = {"version": 1, "nodes": nodes, "edges": edges}
         meta["claimGraph"] = {"version": 1, "nodes": len(nodes), "edges": len(edges)}
