@@ -111,6 +111,7 @@ class Index:
     avg_len: float
     headed: bool = True  # whether any block can have a heading
     ids: DataFrame | None = None  # (term, term_id), where ties go by the first term met
+    scanned: bool = False  # whether small batches read the blocks and not the postings, which aren't stored
 
     @property
     def spark(self) -> SparkSession:
@@ -128,7 +129,7 @@ def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist
         p = p.persist()
         terms = lexicon(p).persist()
     row = b.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None)
+    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None, not persist)
 
 
 def save(index: Index, path: str, buckets: int = 64) -> None:

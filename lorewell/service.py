@@ -29,7 +29,7 @@ def search(index: I.Index, queries: DataFrame, top_k: int) -> DataFrame:
         queries = queries.limit(0)
     asked = queries.where(F.trim(F.coalesce("q", F.lit(""))) != "")
     parsed = R.parsed(asked, LEXICAL, T.lite_tokenize)
-    sums = R.matches(index, R.weighted_terms(parsed)).groupBy("query_id", "block_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    sums = R.sums(index, parsed, TOP_K).withColumn("score", F.round("score", 9))
     top = sums.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long")).where(F.col("rank") <= min(max(top_k, 0), TOP_K))
     blocks = index.blocks.select("block_id", "text", F.col("doc_id").alias("source"), "namespace")
     return top.join(blocks, "block_id").select("query_id", "rank", "block_id", "score", "text", "source", "namespace")
