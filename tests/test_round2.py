@@ -45,7 +45,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["tok_counts", "postings_terms", "graph_triples", "graph_cap"])
+@pytest.mark.parametrize("name", ["tok_counts", "postings_terms", "graph_triples"])
 def test_no_text_goes_through_python(spark, data, name):
     assert "Python" not in plan_of(QUERIES[name](spark, data))
 
@@ -58,3 +58,18 @@ def test_terms_of_every_character(spark):
     df = spark.createDataFrame(rows, "t string").withColumn("d", F.regexp_replace(bare("t"), r"\p{M}", ""))
     want = F.filter(F.split(F.regexp_replace(F.lower("d"), r"[^\p{L}\p{N}\s-]", " "), r"\s+"), lambda x: x != "")
     assert df.where(~T.tokenize("t").eqNullSafe(want)).count() == 0
+
+
+def test_hashes_of_many_texts(spark):
+    texts = ["", "a", "yiijsv", "ktodoe", "\U00010400\U0002070e x", "long " * 300, "longer \U00010400" * 300] + [f"label {i} " * (i % 7) for i in range(100)]
+    assert T.fnv32s(texts) == [T.plain_fnv32(t) for t in texts] and T.fnv32s([]) == []
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.fnv32(F.col("t")).alias("h")).collect()
+    assert all(r["h"] == (None if r["t"] is None else f"{T.plain_fnv32(r['t']):08x}") for r in rows)
+
+
+def test_graph_takes_texts_apart_once(spark, data):
+    from lorewell.operators import graph as G
+    from lorewell.plans import knowledge
+
+    nodes, edges = G.build(knowledge.noted(spark, data))
+    assert all("documents" not in plan_of(df) and "regexp" not in plan_of(df) for df in (nodes, edges))
