@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,12 @@ class Index:
     headed: bool = True  # whether any block can have a heading
     ids: DataFrame | None = None  # (term, term_id), where ties go by the first term met
     scanned: bool = False  # whether small batches read the blocks and not the postings, which aren't stored
+    made: Callable[[DataFrame], DataFrame] | None = None  # blocks of the documents that a step on these leaves
+
+    def only(self, ids: DataFrame) -> DataFrame:
+        """The blocks with one of ``ids(block_id)``. Texts are taken apart behind the join: Spark doesn't bring it below."""
+        there = lambda rows: rows.join(ids, "block_id", "left_semi")
+        return self.made(there) if self.made else there(self.blocks)
 
     @property
     def spark(self) -> SparkSession:
@@ -120,7 +127,8 @@ class Index:
 
 def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist: bool = False, strict: bool = False, ordered: bool = False) -> Index:
     """Index of ``docs``, whose columns are checked; with ``strict`` a blank text fails the job, else it is an empty block. With ``ordered`` terms are numbered and decide ties."""
-    b = blocks(validated(docs) if strict else checked_columns(docs), markdown, tokenizer)
+    given = validated(docs) if strict else checked_columns(docs)
+    b = blocks(given, markdown, tokenizer)
     if persist:
         b = b.persist()
     p = postings(b)
@@ -129,7 +137,7 @@ def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist
         p = p.persist()
         terms = lexicon(p).persist()
     row = b.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None, not persist)
+    return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None, not persist, None if persist else lambda step: blocks(step(given), markdown, tokenizer))
 
 
 def save(index: Index, path: str, buckets: int = 64) -> None:

@@ -60,6 +60,18 @@ def test_terms_of_every_character(spark):
     assert df.where(~T.tokenize("t").eqNullSafe(want)).count() == 0
 
 
+@pytest.mark.parametrize("live", [False, True])
+def test_ids_are_met_before_texts_are_taken_apart(spark, data, live):
+    from lorewell.operators import live as L
+    from lorewell.plans import knowledge, retrieval
+
+    index = L.live_index(*knowledge.overlay(spark, data)) if live else retrieval.index(spark, data)
+    few = index.only(index.blocks.select("block_id").where("block_id % 100 = 3"))
+    assert few.orderBy("block_id").collect() == index.blocks.where("block_id % 100 = 3").orderBy("block_id").collect() and few.count() > 0
+    lines = plan_of(index.only(spark.createDataFrame([(3,)], "block_id long"))).split("\n")
+    assert min(i for i, x in enumerate(lines) if "split(" in x) < min(i for i, x in enumerate(lines) if "LeftSemi" in x)
+
+
 def test_hashes_of_many_texts(spark):
     texts = ["", "a", "yiijsv", "ktodoe", "\U00010400\U0002070e x", "long " * 300, "longer \U00010400" * 300] + [f"label {i} " * (i % 7) for i in range(100)]
     assert T.fnv32s(texts) == [T.plain_fnv32(t) for t in texts] and T.fnv32s([]) == []
