@@ -78,6 +78,20 @@ def postings(blocks_: DataFrame) -> DataFrame:
     return grouped.select("term", "block_id", "len", F.size("positions").cast("long").alias("tf"), "positions")
 
 
+def block_postings(blocks_: DataFrame) -> DataFrame:
+    """``postings`` of blocks whose ids are distinct: each block sorts its own tokens, so that nothing is exchanged or held but one block."""
+    bound = lambda x, f: F.transform(F.array(x), f)[0]
+    spots = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def grouped(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        places = lambda lo, hi: F.transform(F.sequence(lo, hi - 1), lambda j: F.get(s, j)["pos"])
+        return bound(first, lambda at: F.transform(at, lambda lo, k: F.struct(F.get(s, lo)["term"].alias("term"), places(lo, F.coalesce(F.get(at, k + 1), F.size(s))).alias("positions"))))
+
+    rows = blocks_.where(F.size("tokens") > 0).select("block_id", "len", F.inline(bound(spots, grouped)))
+    return rows.select("term", "block_id", "len", F.size("positions").cast("long").alias("tf"), "positions")
+
+
 def frequencies(blocks_: DataFrame) -> DataFrame:
     """(term, block_id, tf) without positions, counted inside each block, so nothing is shuffled."""
     distinct = blocks_.select("block_id", "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
@@ -140,10 +154,18 @@ def build(docs: DataFrame, markdown: bool = False, tokenizer=T.tokenize, persist
     return Index(b, p, terms, row["n"], row["avg"] or 1.0, "heading" in docs.columns, term_ids(b) if ordered else None, not persist, None if persist else lambda step: blocks(step(given), markdown, tokenizer))
 
 
-def save(index: Index, path: str, buckets: int = 64) -> None:
-    """Parquet tables; postings are ranged by term, so a query's terms prune row groups by their minima and maxima."""
-    index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-    index.postings.repartitionByRange(buckets, "term", "block_id").sortWithinPartitions("term", "block_id").write.mode("overwrite").parquet(f"{path}/postings")
+def save(index: Index, path: str, buckets: int | None = None) -> None:
+    """Parquet tables; postings are ranged by term, so a query's terms prune row groups by their minima and maxima.
+
+    There are at least 64 buckets, or as many as the session has shuffle partitions.
+    ``raw`` is stored where it isn't the text. Postings that aren't stored yet are
+    made of the stored tokens, as ranging reads its input twice.
+    """
+    buckets = buckets or max(64, int(index.spark.conf.get("spark.sql.shuffle.partitions")))
+    store = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    store(index.blocks.withColumn("raw", F.when(~F.col("raw").eqNullSafe(F.col("text")), F.col("raw"))), "blocks")
+    made = block_postings(index.spark.read.parquet(f"{path}/blocks")) if index.scanned else index.postings
+    store(made.repartitionByRange(buckets, "term", "block_id").sortWithinPartitions("term", "block_id"), "postings")
     saved = index.spark.read.parquet(f"{path}/postings")
     lexicon(saved).repartitionByRange(max(1, buckets // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     index.spark.createDataFrame([(3, index.n, index.avg_len)], "version int, blocks long, avg_block_len double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -151,7 +173,8 @@ def save(index: Index, path: str, buckets: int = 64) -> None:
 
 def load(spark: SparkSession, path: str) -> Index:
     meta = spark.read.parquet(f"{path}/meta").first()
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "postings", "lexicon")), meta["blocks"], meta["avg_block_len"])
+    blocks_, *rest = (spark.read.parquet(f"{path}/{t}") for t in ("blocks", "postings", "lexicon"))
+    return Index(blocks_.withColumn("raw", F.coalesce("raw", "text")), *rest, meta["blocks"], meta["avg_block_len"])
 
 
 def contribution(tf: Column, df: Column, length: Column, n: int, avg: float, k1: float = 1.5, b: float = 0.75) -> Column:
