@@ -27,3 +27,18 @@ def test_stored_index_holds_a_text_once(spark, tmp_path):
     assert [r["raw"] for r in spark.read.parquet(f"{tmp_path}/blocks").orderBy("block_id").collect()] == [None, "# *marked* text", None]
     order = ["term", "block_id"]
     assert again.postings.orderBy(*order).collect() == index.postings.orderBy(*order).collect()
+
+
+def test_holding_does_not_list_runs(spark):
+    from lorewell.operators import evaluate as E
+
+    texts = ["", None, "!?", "a b", "X one two three four Y and on", "one two three four", "xx one two three four yy", "z one two three four five six z", "one two three five six seven", "Ünder \U00010400 ÄRGER über alles hin", "a b a b a b a b a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "block_id long, text string")
+    asked = ["", None, "!?", "b", "a b a b a b a b", "X one two three four Y", "x one two three four y", "e one two three four five", "two three four f", "ne two three four five s", "ne two three four five six z", "nder \U00010400 ÄRGER über alles hi", "Ünder \U00010400 ärger über alles hin"]
+    items = spark.createDataFrame(list(enumerate(asked)), "query_id int, q string")
+    found = E.holding(docs, items)
+    want = {(i, j) for i, q in enumerate(asked) for j, t in enumerate(texts) if q is not None and t is not None and q in t}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sorted(map(tuple, E.holding(docs, items, sent=0).collect())) == sorted(want)
+    assert "Generate" not in executed(found) and dict(found.dtypes) == {"query_id": "int", "block_id": "bigint"}
+    assert E.holding(docs, items.limit(0)).count() == 0
