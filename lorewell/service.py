@@ -18,6 +18,7 @@ from .functions import text as T
 from .operators import index as I
 from .operators import retrieve as R
 from .options import LEXICAL, Options
+from .shared import checkpointed, small
 from .sources import pack
 
 TOP_K = 50
@@ -28,11 +29,11 @@ def search(index: I.Index, queries: DataFrame, top_k: int) -> DataFrame:
     if top_k <= 0:
         queries = queries.limit(0)
     asked = queries.where(F.trim(F.coalesce("q", F.lit(""))) != "")
-    parsed = R.parsed(asked, LEXICAL, T.lite_tokenize)
+    parsed = checkpointed(R.parsed(asked, LEXICAL, T.lite_tokenize))
     sums = R.sums(index, parsed, TOP_K).withColumn("score", F.round("score", 9))
     top = sums.withColumn("rank", F.row_number().over(R.per_query().orderBy(F.desc("score"), "block_id")).cast("long")).where(F.col("rank") <= min(max(top_k, 0), TOP_K))
     blocks = index.blocks.select("block_id", "text", F.col("doc_id").alias("source"), "namespace")
-    return top.join(blocks, "block_id").select("query_id", "rank", "block_id", "score", "text", "source", "namespace")
+    return blocks.join(small(top, parsed.count() * TOP_K), "block_id").select("query_id", "rank", "block_id", "score", "text", "source", "namespace")
 
 
 @dataclass
